@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "alignment")
+MODULES = ("sources", "alignment", "aggregates", "windows")
 
 
 def all_queries():

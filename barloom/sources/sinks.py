@@ -15,9 +15,12 @@ def write_replace(df: DataFrame, path: str) -> None:
 
 
 def write_run_date(df: DataFrame, path: str, partition: str = "date") -> None:
-    """Replace only the run dates present in `df`; running it twice changes nothing."""
+    """Replace only the run dates present in `df`; running it twice changes nothing.
+
+    The rebalance hint gathers small dates into few files and splits a large one over tasks.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", partition).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
