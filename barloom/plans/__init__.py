@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "alignment", "aggregates", "windows")
+MODULES = ("sources", "alignment", "aggregates", "windows", "text")
 
 
 def all_queries():
