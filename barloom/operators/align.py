@@ -133,18 +133,21 @@ def upsample_ffill(series: DataFrame, by: Sequence[str] = ("series_id",), date:
     return days.withColumn(date, F.col("_d")).drop("_d", "_next")
 
 
-def upsample_linear(series: DataFrame, value: str = "value", by: Sequence[str] = ("series_id",),
+def upsample_linear(series: DataFrame, values: Sequence[str] = ("value",), by: Sequence[str] = ("series_id",),
                     date: str = "date") -> DataFrame:
     """As `upsample_ffill`, with linear interpolation between observations."""
     w = {"by": by, "order": date}
-    nxt = series.withColumns({"_next": lead(date, 1, **w), "_nv": lead(value, 1, **w)})
+    ahead = {f"_n_{v}": lead(v, 1, **w) for v in values}
+    nxt = series.withColumns({"_next": lead(date, 1, **w), **ahead})
     last = F.coalesce(F.date_sub("_next", 1), F.col(date))
     days = nxt.withColumn("_d", F.explode(F.sequence(F.col(date), last)))
     share = F.datediff("_d", date) / F.datediff("_next", date)
-    filled = F.when(F.col("_next").isNull(), F.col(value)).otherwise(
-        F.col(value) + (F.col("_nv") - F.col(value)) * share
-    )
-    return days.withColumns({value: filled, date: F.col("_d")}).drop("_d", "_next", "_nv")
+    filled = {
+        v: F.when(F.col("_next").isNull(), F.col(v)).otherwise(
+            F.col(v) + (F.col(f"_n_{v}") - F.col(v)) * share)
+        for v in values
+    }
+    return days.withColumns({**filled, date: F.col("_d")}).drop("_d", "_next", *ahead)
 
 
 def weekday_grid(bounds: DataFrame, start: str = "start", end: str = "end", date: str = "date") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "alignment", "aggregates", "windows", "text")
+MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals")
 
 
 def all_queries():

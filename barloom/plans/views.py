@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import pct_change
+from barloom.functions.rolling import pct_change, sma
 from barloom.operators.align import align_inner, panel
 from barloom.sources.readers import table
 
@@ -155,6 +155,12 @@ def calendar(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def px(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed closes: a price path with everyday returns for backtests and fits."""
+    b = bars(spark, sf)
+    return b.select("symbol", "date", sma("close", 20).alias("close")).na.drop(subset=["close"])
+
+
 # --------------------------------------------------------------------------- DuckDB counterparts
 
 BARS = """bars AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date,
@@ -259,3 +265,21 @@ def corr_sql(x: str, y: str, n: int, by: str | None = "symbol", order: str = "da
     cx, cy = (f"CASE WHEN ({x}) IS NOT NULL AND ({y}) IS NOT NULL THEN {v} END" for v in (x, y))
     return (f"CASE WHEN count({cx}) {over} >= {n} THEN covar_samp({cx}, {cy}) {over} / "
             f"nullif(stddev_samp({cx}) {over} * stddev_samp({cy}) {over}, 0) END")
+
+
+PX = BARS + f""",
+ px0 AS (SELECT symbol, date, {roll('avg', 'close', 20)} AS close FROM bars),
+ px AS (SELECT * FROM px0 WHERE close IS NOT NULL)"""
+
+
+def mom_sql(src: str, name: str = "mom") -> str:
+    """CTE with the triple moving-average score of `src(symbol, date, close)`."""
+    return f"""{name}0 AS (SELECT symbol, date, close, {roll('avg', 'close', 20)} AS m20, {roll('avg', 'close', 60)} AS m60,
+   {roll('avg', 'close', 200)} AS m200 FROM {src}),
+ {name} AS (SELECT symbol, date, close, round(CAST(CASE WHEN close > m20 THEN 0.33 ELSE -0.33 END + CASE WHEN m20 > m60 THEN 0.33 ELSE -0.33 END
+   + CASE WHEN m60 > m200 THEN 0.34 ELSE -0.34 END AS DOUBLE), 4) AS score FROM {name}0)"""
+
+
+SIGNAL_STEPS = [(">=", 0.15, "Long"), ("<=", -0.15, "Short")]
+SIG = ladder_sql("score", SIGNAL_STEPS, "Neutral")
+SCORES = PX + ",\n " + mom_sql("px")
