@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals")
+MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals", "backtests")
 
 
 def all_queries():
