@@ -115,14 +115,21 @@ def nearest_asof(left: DataFrame, right: DataFrame, values: Sequence[str], on: s
     return ahead.withColumns(out).drop("_bt", "_ft", *[f"_f_{v}" for v in values])
 
 
-def nth_bar_after(events: DataFrame, bars: DataFrame, n: int, value: str = "close",
+def nth_bar_after(events: DataFrame, bars: DataFrame, n: int | Sequence[int], value: str = "close",
                   by: str = "symbol", date: str = "date", out: str = "price_after") -> DataFrame:
-    """Value n bars strictly after each event date: bar numbers, then an equi join."""
+    """Value n bars strictly after each event date: bar numbers, then an equi join.
+
+    With several n, one row per event and n (column `horizon`) from a single as-of join.
+    """
     numbered = bars.select(by, date, value, F.row_number().over(ordered(by, date)).alias("_n"))
     at = asof_join(events, numbered.select(by, date, "_n"), ["_n"], by=(by,), on=date)
-    target = numbered.select(by, (F.col("_n") - n).alias("_n"),
-                             F.col(date).alias("outcome_date"), F.col(value).alias(out))
-    return at.withColumn("_n", F.coalesce("_n", F.lit(0))).join(target, [by, "_n"], "left").drop("_n")
+    many = not isinstance(n, int)
+    steps = F.array(*[F.lit(k) for k in (n if many else [n])])
+    at = at.withColumn("horizon", F.explode(steps))
+    at = at.withColumn("_n", F.coalesce("_n", F.lit(0)) + F.col("horizon"))
+    target = numbered.select(by, "_n", F.col(date).alias("outcome_date"), F.col(value).alias(out))
+    joined = at.join(target, [by, "_n"], "left").drop("_n")
+    return joined if many else joined.drop("horizon")
 
 
 def upsample_ffill(series: DataFrame, by: Sequence[str] = ("series_id",), date: str = "date") -> DataFrame:

@@ -189,13 +189,7 @@ def record_signals(decisions: DataFrame, log: DataFrame, prices: DataFrame) -> D
 def signal_outcomes(log: DataFrame, prices: DataFrame, horizons: Sequence[int] = (10, 30, 60),
                     as_of: Column | None = None) -> DataFrame:
     """One row per signal and horizon that is due: return, target and stop flags, label."""
-    from barloom.operators.ranking import union_all
-
-    parts = [
-        nth_bar_after(log, prices.select("symbol", "date", "close"), h, out="price_at_outcome")
-        .withColumn("horizon", F.lit(h)) for h in horizons
-    ]
-    o = union_all(*parts)
+    o = nth_bar_after(log, prices.select("symbol", "date", "close"), list(horizons), out="price_at_outcome")
     due = F.date_add(F.col("date"), F.ceil(F.col("horizon") * 1.4).cast("int")) <= (as_of if as_of is not None else F.current_date())
     o = o.filter(due & F.col("price_at_outcome").isNotNull() & F.col("price_at_signal").isNotNull())
     long_ = F.col("bias") == "LONG"

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals", "backtests")
+MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals", "backtests", "regimes")
 
 
 def all_queries():
