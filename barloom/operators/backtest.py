@@ -96,9 +96,8 @@ def yearly_portfolio(df: DataFrame, members: int, train_years: int = 3, min_rows
                      cost: float = 0.001) -> DataFrame:
     """Equal-weight portfolio per test year with the beat flag."""
     d = df.withColumn("year", F.year("date"))
-    bounds = d.groupBy().agg(F.min("year").alias("_f"), F.max("year").alias("_l"))
-    d = d.crossJoin(F.broadcast(bounds))  # one row
-    d = d.filter((F.col("year") >= F.col("_f") + train_years) & (F.col("year") < F.col("_l")))
+    first, last = d.agg(F.min("year")).scalar(), d.agg(F.max("year")).scalar()
+    d = d.filter((F.col("year") >= first + train_years) & (F.col("year") < last))
     by = ("symbol", "year")
     r = strategy_returns(d.select("symbol", "year", "date", "close", "score"), cost=cost, by=by)
     p = portfolio_equal_weight(r, ["strat_ret", "ret"], members, by=("year",))

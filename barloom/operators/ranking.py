@@ -37,9 +37,8 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 def label_share(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Count and percentage per label; the window runs on the aggregated rows only."""
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
-    joined = counts.join(total, list(by)) if by else counts.crossJoin(total)
-    return joined.withColumn("pct", F.col("n") * 100.0 / F.col("_t")).drop("_t")
+    total = F.sum("n").over(Window.partitionBy(*by))
+    return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 
 def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:

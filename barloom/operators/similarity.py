@@ -15,7 +15,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def one_to_all(rows: DataFrame, target: DataFrame, vector: str) -> DataFrame:
-    """Cosine similarity to a single target row, which is all that is broadcast."""
-    one = target.select(F.col(vector).alias("_q")).limit(1)
-    return rows.crossJoin(F.broadcast(one)).withColumn(
-        "similarity", cosine(F.col(vector), F.col("_q"))).drop("_q")
+    """Cosine similarity to a single target row, read as a scalar subquery."""
+    one = target.select(vector).limit(1).scalar()
+    return rows.withColumn("_q", one).withColumn("similarity", cosine(F.col(vector), F.col("_q"))).drop("_q")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals", "backtests", "regimes")
+MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals", "backtests", "regimes", "decisions")
 
 
 def all_queries():

@@ -278,9 +278,8 @@ def _ry(spark, sf):
     m = V.macro(spark, sf).select("date", (F.col("y10") - F.col("policy")).alias("rv"))
     b = V.bars(spark, sf).select("symbol", "date", "close")
     j = b.join(upsample_ffill(m, by=()), "date", "left")
-    last = m.agg(F.max("date").alias("_d"), F.max_by("rv", "date").alias("_rv"))  # one row
-    j = j.crossJoin(F.broadcast(last))
-    j = j.withColumn("rv", F.when(F.col("date") >= F.col("_d"), F.col("_rv")).otherwise(F.col("rv"))).drop("_d", "_rv")
+    j = j.withColumn("_l", m.agg(F.max(F.struct("date", "rv"))).scalar())
+    j = j.withColumn("rv", F.when(F.col("date") >= F.col("_l.date"), F.col("_l.rv")).otherwise(F.col("rv"))).drop("_l")
     return R.fair_value_real_yield(j, "close", "rv", by=("symbol",))
 
 
