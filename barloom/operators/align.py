@@ -52,44 +52,36 @@ def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequ
     no row is paired with more than one other. `right` must be unique on (by, on).
     """
     back = direction == "backward"
-    keys = [*by, "_b"]
     payload = F.struct(F.col(on).alias("_t"), *[F.col(v) for v in values])
-
-    r = right.select(*by, F.col(on), payload.alias("_v")).withColumn("_b", bucket(F.col(on)))
-    l = left.withColumn("_b", bucket(F.col(on)))
+    rest = [c for c in left.columns if c not in by and c != on]
+    r = right.select(*by, F.col(on), payload.alias("_v"))
+    l = left.select(*by, on, F.struct(*(rest or [on])).alias("_l"))
+    both = l.withColumns({"_v": F.lit(None).cast(r.schema["_v"].dataType), "_side": F.lit(1)}).unionByName(
+        r.withColumns({"_l": F.lit(None).cast(l.schema["_l"].dataType), "_side": F.lit(0 if allow_equal else 2)}))
+    # One shuffle on a struct key serves both branches below, so each input is computed once (plain
+    # key columns would get a not-null filter from the join in one branch only).
+    key = F.struct(*by, bucket(F.col(on)).alias("_b")).alias("_k")
+    both = both.select(on, "_l", "_v", "_side", key).repartition("_k")
 
     pick = F.max_by if back else F.min_by
-    ends = r.groupBy(*keys).agg(pick("_v", on).alias("_v"))
-    slots = l.select(*keys).distinct()
-    step = F.col("_b").asc() if back else F.col("_b").desc()
-    before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        slots.join(ends, keys, "full")
-        .withColumn("_c", F.last("_v", ignorenulls=True).over(before))
-        .select(*keys, "_c")
-    )
+    known = F.when(F.col("_side") != 1, F.col(on))
+    ends = both.groupBy("_k").agg(pick("_v", known).alias("_v"), F.count("_l").alias("_nl"))
+    step = F.col("_k._b").asc() if back else F.col("_k._b").desc()
+    before = Window.partitionBy(*[F.col(f"_k.{c}") for c in by]).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.withColumn("_c", F.last("_v", ignorenulls=True).over(before)).filter("_nl > 0").select("_k", "_c")
 
-    rank_right = 0 if allow_equal else 2
-    empty = F.lit(None).cast(r.schema["_v"].dataType)
-    rest = [c for c in left.columns if c not in by and c != on]
-    both = l.select(*keys, on, F.lit(1).alias("_side"), F.struct(*(rest or [on])).alias("_l"),
-                    empty.alias("_v"))
-    both = both.unionByName(
-        r.select(*keys, on, F.lit(rank_right).alias("_side"),
-                 F.lit(None).cast(both.schema["_l"].dataType).alias("_l"), "_v")
-    )
     way = F.col(on).asc() if back else F.col(on).desc()
     w = (
-        Window.partitionBy(*keys).orderBy(way, "_side")
+        Window.partitionBy("_k").orderBy(way, "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     seen = both.withColumn("_m", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    out = seen.join(carry, keys, "left").withColumn("_m", F.coalesce("_m", "_c"))
+    out = seen.join(carry, "_k", "left").withColumn("_m", F.coalesce("_m", "_c"))
     picked = [F.col(f"_l.{c}").alias(c) for c in rest]
     taken = [F.col(f"_m.{v}").alias(v) for v in values]
     if keep_time:
         taken.append(F.col("_m._t").alias(keep_time))
-    return out.select(*by, on, *picked, *taken)
+    return out.select(*[F.col(f"_k.{c}").alias(c) for c in by], on, *picked, *taken)
 
 
 def asof_ffill_bfill(left: DataFrame, right: DataFrame, values: Sequence[str], **kw) -> DataFrame:

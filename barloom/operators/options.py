@@ -130,3 +130,13 @@ COMPOSITE_STEPS = [
     (">=", 0.40, "STRONG_BULLISH"), (">=", 0.15, "BULLISH"),
     ("<=", -0.40, "STRONG_BEARISH"), ("<=", -0.15, "BEARISH"),
 ]
+
+
+def options_composite(df: DataFrame) -> DataFrame:
+    """Sum of the four contributions from pcr_signal, bias, skew_signal, iv_regime, with label."""
+    from barloom.functions.scalar import clip, map_label
+
+    total = (map_label("pcr_signal", PCR_SCORE, 0.0) + map_label("bias", PAIN_SCORE, 0.0)
+             + map_label("skew_signal", SKEW_SCORE, 0.0) + map_label("iv_regime", IV_SCORE, 0.0))
+    d = df.withColumn("composite", F.round(clip(total, -1, 1), 4))
+    return d.withColumn("composite_signal", ladder("composite", COMPOSITE_STEPS, "NEUTRAL"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals", "backtests", "regimes", "decisions")
+MODULES = ("sources", "alignment", "aggregates", "windows", "text", "signals", "backtests", "regimes", "decisions", "derivatives", "changes")
 
 
 def all_queries():

@@ -13,6 +13,7 @@ from barloom.plans.registry import query
 from barloom.plans.signals import hit_sql
 from barloom.plans.views import O, SIG, clip_sql, corr_sql, rnd, roll, w
 from barloom.plans.windows import _norm_sql, _pos_sql
+from barloom.session import stored
 
 
 def scores(spark, sf):
@@ -231,7 +232,7 @@ OUTC = f"""pb AS (SELECT symbol, date, close, row_number() {O} AS n FROM px),
 
 def _outcomes(spark, sf):
     p = F.col("price_at_signal")
-    log = _log(spark, sf).withColumns({
+    log = stored(_log(spark, sf), "signal-log").withColumns({
         "target_high": p * 1.05, "target_low": p * 0.95,
         "stop_level": F.when(F.col("bias") == "LONG", p * 0.95).otherwise(p * 1.05)})
     return log, B.signal_outcomes(log, V.px(spark, sf), as_of=F.lit("2002-01-01").cast("date"))

@@ -18,6 +18,7 @@ from barloom.plans.registry import query
 from barloom.plans.signals import CONF, ROLE, STABLE, hit_sql
 from barloom.plans.views import O, SIG, ladder_sql, map_sql, rnd, roll
 from barloom.plans.windows import LEVELS_SQL, _pos_sql
+from barloom.session import stored
 from barloom.sources.readers import read_latest
 
 N = {"by": None}
@@ -67,7 +68,8 @@ OUT = SIM + f""", ae AS (SELECT symbol, analog_date, similarity FROM an, (VALUES
 
 
 def _outcomes(spark, sf):
-    return A.analog_outcomes(_similar(spark, sf), V.bars(spark, sf), list(V.SYMBOLS))
+    analogs = stored(_similar(spark, sf), "analogs")
+    return A.analog_outcomes(analogs, V.bars(spark, sf), list(V.SYMBOLS))
 
 
 @query("an_3_analog_outcomes", f"WITH {OUT} SELECT symbol, analog_date, horizon, round(forward_return, 4) AS forward_return FROM ao")
