@@ -44,6 +44,11 @@ def whole(by: Keys = BY) -> WindowSpec:
     return Window.partitionBy(*_names(by))
 
 
+def full(x: str | Column, n: int, value: Column, w: WindowSpec, min_periods: int | None = None) -> Column:
+    """`value` once the frame holds `min_periods` (default n) values of x."""
+    return F.when(F.count(col(x)).over(w) >= (n if min_periods is None else min_periods), value)
+
+
 def rolling(
     agg: Callable[..., Column],
     x: str | Column,
@@ -55,8 +60,7 @@ def rolling(
 ) -> Column:
     """Aggregate over n rows, missing until `min_periods` (default n) values are present."""
     w = frame(n, by, order, skip)
-    need = n if min_periods is None else min_periods
-    return F.when(F.count(col(x)).over(w) >= need, agg(col(x)).over(w))
+    return full(x, n, agg(col(x)).over(w), w, min_periods)
 
 
 def sma(x, n, **kw) -> Column:
@@ -99,22 +103,30 @@ def forward_return(x, k=1, **kw) -> Column:
     return F.try_divide(lead(x, k, **kw), col(x)) - 1.0
 
 
-def range_position(x, n, min_periods=None, **kw) -> Column:
+def range_position(x, n, min_periods=None, by: Keys = BY, order: Keys = ORDER) -> Column:
     """0-100 position of x inside its n-row range; missing on a flat range."""
-    lo = rolling_min(x, n, min_periods=min_periods, **kw)
-    hi = rolling_max(x, n, min_periods=min_periods, **kw)
-    return F.try_divide(col(x) - lo, hi - lo) * 100.0
+    w = frame(n, by, order)
+    lo, hi = F.min(col(x)).over(w), F.max(col(x)).over(w)
+    return full(x, n, F.try_divide(col(x) - lo, hi - lo) * 100.0, w, min_periods)
 
 
-def normalise_pm1(x, n=252, min_periods=60, **kw) -> Column:
-    lo = rolling_min(x, n, min_periods=min_periods, **kw)
-    hi = rolling_max(x, n, min_periods=min_periods, **kw)
-    return clip((col(x) - lo) / (hi - lo + 1e-10) * 2.0 - 1.0, -1.0, 1.0)
+def normalise_pm1(x, n=252, min_periods=60, by: Keys = BY, order: Keys = ORDER) -> Column:
+    """Range position scaled to [-1, 1]; x lies inside its own range, so no clip is needed."""
+    w = frame(n, by, order)
+    lo, hi = F.min(col(x)).over(w), F.max(col(x)).over(w)
+    return full(x, n, (col(x) - lo) / (hi - lo + 1e-10) * 2.0 - 1.0, w, min_periods)
 
 
-def zscore(x, n, limit: float | None = None, **kw) -> Column:
-    z = F.try_divide(col(x) - sma(x, n, **kw), rolling_std(x, n, **kw))
-    return z if limit is None else clip(z, -limit, limit)
+def zscore(x, n, limit: float | None = None, by: Keys = BY, order: Keys = ORDER) -> Column:
+    w = frame(n, by, order)
+    z = F.try_divide(col(x) - F.avg(col(x)).over(w), F.stddev_samp(col(x)).over(w))
+    z = full(x, n, z, w)
+    return z if limit is None else _limit(z, limit)
+
+
+def _limit(z: Column, limit: float) -> Column:
+    """Clip with a single evaluation of z; a missing z stays missing."""
+    return F.transform(F.array(z), lambda v: clip(v, -limit, limit))[0]
 
 
 def rolling_corr(x, y, n, min_periods=None, by: Keys = BY, order: Keys = ORDER) -> Column:
@@ -153,19 +165,29 @@ def _history(x, n, by, order) -> Column:
     return F.collect_list(col(x)).over(frame(n, by, order))
 
 
+def _place(x, n, by: Keys, order: Keys, finish) -> Column:
+    """Count values below, equal to, and in the frame of x, in one pass over the frame."""
+    x = col(x)
+    zero = F.struct(F.lit(0).alias("less"), F.lit(0).alias("same"), F.lit(0).alias("n"))
+    return F.aggregate(
+        _history(x, n, by, order), zero,
+        lambda a, v: F.struct(
+            (a.less + (v < x).cast("int")).alias("less"), (a.same + (v == x).cast("int")).alias("same"),
+            (a.n + 1).alias("n")),
+        finish,
+    )
+
+
 def rank_pct_rolling(x, n, min_periods=None, by: Keys = BY, order: Keys = ORDER) -> Column:
     """Average-tie percentile rank (0-1) of x among its last n values."""
-    h, x = _history(x, n, by, order), col(x)
-    less = F.size(F.filter(h, lambda v: v < x))
-    same = F.size(F.filter(h, lambda v: v == x))
     need = n if min_periods is None else min_periods
-    return F.when(x.isNotNull() & (F.size(h) >= need), (less + (same + 1) / 2.0) / F.size(h))
+    rank = _place(x, n, by, order, lambda a: F.when(a.n >= need, (a.less + (a.same + 1) / 2.0) / a.n))
+    return F.when(col(x).isNotNull(), rank)
 
 
 def pct_lt_tail(x, n, by: Keys = BY, order: Keys = ORDER) -> Column:
     """Share of the last n values strictly below x."""
-    h, x = _history(x, n, by, order), col(x)
-    return F.size(F.filter(h, lambda v: v < x)) / F.size(h)
+    return F.when(col(x).isNotNull(), _place(x, n, by, order, lambda a: F.try_divide(a.less, a.n)))
 
 
 def rank_pct_full(x, by: Keys = BY) -> Column:
@@ -184,34 +206,6 @@ def pct_le_full(x, by: Keys = BY) -> Column:
     return F.cume_dist().over(Window.partitionBy(*_names(by)).orderBy(col(x)))
 
 
-def ewm_rows(alpha: float) -> int:
-    """Rows after which a recursive average no longer changes at double precision."""
-    return math.ceil(-14.0 * math.log(10.0) / math.log(1.0 - alpha))
-
-
-def ewm(x, alpha: float, adjust: bool = False, min_periods: int = 1, by: Keys = BY,
-        order: Keys = ORDER) -> Column:
-    """Exponentially weighted mean, the recursion folded over a bounded frame.
-
-    The frame is long enough that what lies before it has weight below 1e-14.
-    """
-    h = _history(x, ewm_rows(alpha), by, order)
-    keep = 1.0 - alpha
-    if adjust:
-        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-        out = F.aggregate(
-            h, start,
-            lambda a, v: F.struct((a.s * keep + v).alias("s"), (a.w * keep + 1.0).alias("w")),
-            lambda a: F.try_divide(a.s, a.w),
-        )
-    else:
-        out = F.aggregate(
-            F.slice(h, 2, ewm_rows(alpha)), F.element_at(h, 1),
-            lambda a, v: a * keep + v * alpha,
-        )
-    return F.when(F.size(h) >= min_periods, out)
-
-
 def drawdown(equity, by: Keys = BY, order: Keys = ORDER) -> Column:
     peak = F.max(col(equity)).over(cumulative(by, order))
     return F.try_divide(col(equity), peak) - 1.0
@@ -224,8 +218,10 @@ def equity_curve(ret, start=100.0, by: Keys = BY, order: Keys = ORDER) -> Column
     )
 
 
-def rolling_sharpe(ret, n, **kw) -> Column:
-    return sma(ret, n, **kw) / (rolling_std(ret, n, **kw) + 1e-10) * math.sqrt(TRADING_DAYS)
+def rolling_sharpe(ret, n, by: Keys = BY, order: Keys = ORDER) -> Column:
+    w = frame(n, by, order)
+    sharpe = F.avg(col(ret)).over(w) / (F.stddev_samp(col(ret)).over(w) + 1e-10) * math.sqrt(TRADING_DAYS)
+    return full(ret, n, sharpe, w)
 
 
 def block_mean_change(x, a, b, by: Keys = BY, order: Keys = ORDER) -> Column:

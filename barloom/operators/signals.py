@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import (
-    carried, carried_back, diff, ewm, frame, lag, normalise_pm1, pct_change, row_no, sma,
+    carried, carried_back, diff, frame, lag, normalise_pm1, pct_change, row_no, sma,
 )
 from barloom.functions.scalar import clip, col, ladder, map_label
 from barloom.operators.aggregate import roll_up_bars, week_end
+from barloom.operators.smoothing import with_ewm
 
 THRESHOLD = 0.15
 
@@ -39,8 +40,7 @@ def _rsi(bars: DataFrame, alpha: float, adjust: bool, min_periods: int, out: str
         "_g": F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.col("_d") * 0.0),
         "_l": F.when(F.col("_d") < 0, -F.col("_d")).otherwise(F.col("_d") * 0.0),
     })
-    avg = {k: ewm(k, alpha, adjust, min_periods) for k in ("_g", "_l")}
-    d = d.withColumns({"_ag": avg["_g"], "_al": avg["_l"]})
+    d = with_ewm(d, {"_ag": "_g", "_al": "_l"}, alpha, adjust, min_periods)
     rsi = 100.0 - 100.0 / (1.0 + F.col("_ag") / (F.col("_al") + 1e-10))
     return d.withColumn(out, rsi).drop("_d", "_g", "_l", "_ag", "_al")
 

@@ -53,7 +53,7 @@ SIM = FEAT + f""", hs AS (SELECT * FROM ft WHERE date < (SELECT max(date) FROM f
 
 
 def _similar(spark, sf):
-    return A.similar_states(features(spark, sf), min_similarity=0.3)
+    return A.similar_states(stored(features(spark, sf), "features"), min_similarity=0.3)
 
 
 @query("an_2_similar_states", f"WITH {SIM} SELECT analog_date, round(similarity, 6) AS similarity FROM an")

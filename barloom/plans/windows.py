@@ -10,6 +10,7 @@ from barloom.operators.chunking import chunked, drop_halo, number_rows, running_
 from barloom.operators.levels import nearest_levels, swing_points
 from barloom.operators.pairs import pair_rows
 from barloom.operators.ranking import top_per_key
+from barloom.operators.smoothing import with_ewm
 from barloom.plans import views as V
 from barloom.plans.registry import query
 from barloom.plans.views import O, clip_sql, corr_sql, rnd, roll, w
@@ -125,8 +126,9 @@ def _ewm_sql(value: str, alpha: float, adjust: bool) -> str:
   SELECT a.symbol, a.date, round({_ewm_sql('close', 2 / 15, False)}, 2) AS ewm_span14, round({_ewm_sql('close', 1 / 14, True)}, 2) AS ewm_alpha14
   FROM n a JOIN n h ON a.symbol = h.symbol AND h.rn <= a.rn GROUP BY 1, 2""")
 def ewm(spark, sf):
-    return _b(spark, sf).select(
-        "symbol", "date", rnd(W.ewm("close", 2 / 15), 2).alias("ewm_span14"), rnd(W.ewm("close", 1 / 14, adjust=True), 2).alias("ewm_alpha14"))
+    d = with_ewm(_b(spark, sf), {"ewm_span14": "close"}, 2 / 15)
+    d = with_ewm(d, {"ewm_alpha14": "close"}, 1 / 14, adjust=True)
+    return d.select("symbol", "date", rnd("ewm_span14", 2).alias("ewm_span14"), rnd("ewm_alpha14", 2).alias("ewm_alpha14"))
 
 
 def rank_sql(n: int, table: str = "n", x: str = "close") -> str:
