@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import clip, col
+from barloom.functions.scalar import clip, col, name
 
 Keys = str | Sequence[str]
 BY, ORDER = ("symbol",), ("date",)
@@ -36,6 +36,18 @@ def frame(n: int, by: Keys = BY, order: Keys = ORDER, skip: int = 0) -> WindowSp
     return ordered(by, order).rowsBetween(-(n - 1) - skip, -skip)
 
 
+def over(by: Keys, order: Keys, rows: str = "") -> str:
+    """OVER clause of an ordered series, for builders that write one SQL expression."""
+    part = ", ".join(f"`{k}`" for k in _names(by))
+    keys = ", ".join(f"`{k}`" for k in _names(order))
+    return f"OVER ({f'PARTITION BY {part} ' if part else ''}ORDER BY {keys}{rows})"
+
+
+def over_frame(n: int, by: Keys, order: Keys, skip: int = 0) -> str:
+    end = f"{skip} PRECEDING" if skip else "CURRENT ROW"
+    return over(by, order, f" ROWS BETWEEN {n - 1 + skip} PRECEDING AND {end}")
+
+
 def cumulative(by: Keys = BY, order: Keys = ORDER) -> WindowSpec:
     return ordered(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -59,6 +71,9 @@ def rolling(
     order: Keys = ORDER,
 ) -> Column:
     """Aggregate over n rows, missing until `min_periods` (default n) values are present."""
+    if q := name(x):
+        o, need = over_frame(n, by, order, skip), n if min_periods is None else min_periods
+        return F.expr(f"CASE WHEN count({q}) {o} >= {need} THEN {agg.__name__}({q}) {o} END")
     w = frame(n, by, order, skip)
     return full(x, n, agg(col(x)).over(w), w, min_periods)
 
@@ -84,19 +99,27 @@ def realised_vol(ret, n, **kw) -> Column:
 
 
 def lag(x, k=1, by: Keys = BY, order: Keys = ORDER) -> Column:
+    if q := name(x):
+        return F.expr(f"lag({q}, {k}) {over(by, order)}")
     return F.lag(col(x), k).over(ordered(by, order))
 
 
 def lead(x, k=1, by: Keys = BY, order: Keys = ORDER) -> Column:
+    if q := name(x):
+        return F.expr(f"lead({q}, {k}) {over(by, order)}")
     return F.lead(col(x), k).over(ordered(by, order))
 
 
-def pct_change(x, k=1, **kw) -> Column:
-    return F.try_divide(col(x), lag(x, k, **kw)) - 1.0
+def pct_change(x, k=1, by: Keys = BY, order: Keys = ORDER) -> Column:
+    if q := name(x):
+        return F.expr(f"try_divide({q}, lag({q}, {k}) {over(by, order)}) - 1.0D")
+    return F.try_divide(col(x), lag(x, k, by, order)) - 1.0
 
 
-def diff(x, k=1, **kw) -> Column:
-    return col(x) - lag(x, k, **kw)
+def diff(x, k=1, by: Keys = BY, order: Keys = ORDER) -> Column:
+    if q := name(x):
+        return F.expr(f"{q} - lag({q}, {k}) {over(by, order)}")
+    return col(x) - lag(x, k, by, order)
 
 
 def forward_return(x, k=1, **kw) -> Column:
@@ -237,13 +260,21 @@ def trend_slope(x, n, rn="rn", by: Keys = BY, order: Keys = ORDER) -> Column:
 
 def carried(x, by: Keys = BY, order: Keys = ORDER) -> Column:
     """Last non-missing value up to the current row."""
+    if q := name(x):
+        rows = " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        return F.expr(f"last({q}) IGNORE NULLS {over(by, order, rows)}")
     return F.last(col(x), ignorenulls=True).over(cumulative(by, order))
 
 
 def carried_back(x, by: Keys = BY, order: Keys = ORDER) -> Column:
-    """Next non-missing value from the current row on (looks ahead)."""
-    w = ordered(by, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return F.first(col(x), ignorenulls=True).over(w)
+    """Next non-missing value from the current row on (looks ahead).
+
+    Runs over the descending order: a frame that is open towards the end of the partition is
+    evaluated anew for every row, a running one is not.
+    """
+    down = [F.col(k).desc() for k in _names(order)]
+    w = Window.partitionBy(*_names(by)).orderBy(*down).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.last(col(x), ignorenulls=True).over(w)
 
 
 def row_no(by: Keys = BY, order: Keys = ORDER) -> Column:

@@ -15,8 +15,32 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def name(x: object) -> str | None:
+    """Quoted column name, or None for anything that is not a plain name.
+
+    Builders write a plain name as one SQL expression: the same plan, but one call into the JVM
+    instead of one per operator, which matters for operators with many steps.
+    """
+    if isinstance(x, str) and x.isidentifier():
+        return f"`{x}`"
+    return None
+
+
+def literal(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else str(v)
+
+
 def clip(x: str | Column, lo: float, hi: float) -> Column:
     """Clip to [lo, hi]; a missing value stays missing (greatest/least would skip it)."""
+    if q := name(x):
+        lo, hi = literal(float(lo)), literal(float(hi))
+        return F.expr(f"CASE WHEN {q} < {lo} THEN {lo} WHEN {q} > {hi} THEN {hi} ELSE {q} END")
     x = col(x)
     return F.when(x < lo, F.lit(float(lo))).when(x > hi, F.lit(float(hi))).otherwise(x)
 
@@ -33,6 +57,9 @@ def ladder(
     on_null: object = None,
 ) -> Column:
     """Ordered thresholds -> value; the first matching step wins."""
+    if q := name(x):
+        when = " ".join(f"WHEN {q} {op} {literal(cut)} THEN {literal(value)}" for op, cut, value in steps)
+        return F.expr(f"CASE WHEN {q} IS NULL THEN {literal(on_null)} {when} ELSE {literal(default)} END")
     x = col(x)
     out = F.when(x.isNull(), F.lit(on_null))
     for op, cut, value in steps:
@@ -42,6 +69,9 @@ def ladder(
 
 def map_label(x: str | Column, mapping: Mapping[str, object], default: object = None) -> Column:
     """Small dictionary lookup, folded to a literal CASE so it stays inside codegen."""
+    if q := name(x):
+        when = " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in mapping.items())
+        return F.expr(f"CASE {q} {when} ELSE {literal(default)} END")
     x = col(x)
     items = iter(mapping.items())
     key, value = next(items)

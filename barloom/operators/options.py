@@ -24,15 +24,16 @@ def strike_pain(chain: DataFrame, by: Sequence[str] = ("expiry",)) -> DataFrame:
         F.sum(F.when(pe, F.col("oi")).otherwise(0.0)).alias("p"),
         F.sum(F.when(pe, F.col("oi") * F.col("strike")).otherwise(0.0)).alias("pk"),
     )
-    o = Window.partitionBy(*by).orderBy("strike")
-    below = o.rowsBetween(Window.unboundedPreceding, -1)
-    above = o.rowsBetween(1, Window.unboundedFollowing)
+    listed = Window.partitionBy(*by)
+    running = listed.orderBy("strike").rowsBetween(Window.unboundedPreceding, 0)
 
-    def total(x: str, w) -> Column:
-        return F.coalesce(F.sum(x).over(w), F.lit(0.0))
+    def upto(x: str) -> Column:  # the candidate strike itself adds nothing to either side
+        return F.sum(x).over(running)
 
-    pain = (F.col("strike") * total("c", below) - total("ck", below)
-            + total("pk", above) - F.col("strike") * total("p", above))
+    def beyond(x: str) -> Column:
+        return F.sum(x).over(listed) - F.sum(x).over(running)
+
+    pain = F.col("strike") * upto("c") - upto("ck") + beyond("pk") - F.col("strike") * beyond("p")
     return per.withColumn("pain", pain).select(*by, "strike", "pain")
 
 

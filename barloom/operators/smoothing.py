@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import cumulative
+from barloom.functions.rolling import over
 
 
 def block_rows(alpha: float) -> int:
@@ -27,23 +27,21 @@ def with_ewm(df: DataFrame, cols: Mapping[str, str], alpha: float, adjust: bool
     """
     q, size = 1.0 - alpha, block_rows(alpha)
     out = df
+    running = " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     for name, src in cols.items():
-        x = F.col(src)
-        d = out.withColumn("_ew_c", F.count(x).over(cumulative(by, order)))
-        d = d.withColumns({
-            "_ew_o": F.greatest(F.col("_ew_c") - 1, F.lit(0)) % size,
-            "_ew_b": F.floor((F.col("_ew_c") - 1) / size),
-        })
-        share = F.lit(1.0) if adjust else F.when(F.col("_ew_c") == 1, 1.0).otherwise(alpha)
-        part = x * share * F.pow(F.lit(q), -F.col("_ew_o"))
-        inside = Window.partitionBy(*by, "_ew_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        d = d.withColumn("_ew_l", F.coalesce(F.sum(part).over(inside), F.lit(0.0)) * F.pow(F.lit(q), F.col("_ew_o")))
-        closing = F.when(x.isNotNull() & (F.col("_ew_o") == size - 1), F.col("_ew_l"))
-        before = Window.partitionBy(*by).orderBy("_ew_b").rangeBetween(-1, -1)
-        carry = F.coalesce(F.sum(closing).over(before), F.lit(0.0)) * F.pow(F.lit(q), F.col("_ew_o") + 1)
-        y = F.col("_ew_l") + carry
+        weight = "1.0D" if adjust else f"CASE WHEN _ew_c = 1 THEN 1.0D ELSE {alpha!r}D END"
+        value = "_ew_l + _ew_p"
         if adjust:
-            y = y / ((1.0 - F.pow(F.lit(q), F.col("_ew_c"))) / alpha)
-        d = d.withColumn(name, F.when(F.col("_ew_c") >= max(min_periods, 1), y))
-        out = d.drop("_ew_c", "_ew_o", "_ew_b", "_ew_l")
+            value = f"({value}) / ((1.0D - pow({q!r}D, _ew_c)) / {alpha!r}D)"
+        d = out.withColumn("_ew_c", F.expr(f"count(`{src}`) {over(by, order, running)}"))
+        d = d.withColumns({
+            "_ew_o": F.expr(f"greatest(_ew_c - 1, 0) % {size}"), "_ew_b": F.expr(f"(_ew_c - 1) div {size}")})
+        inside = over((*by, "_ew_b"), order, running)
+        d = d.withColumn("_ew_l", F.expr(
+            f"coalesce(sum(`{src}` * {weight} * pow({q!r}D, -_ew_o)) {inside}, 0.0D) * pow({q!r}D, _ew_o)"))
+        before = over(by, ("_ew_b",), " RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING")
+        closing = f"CASE WHEN `{src}` IS NOT NULL AND _ew_o = {size - 1} THEN _ew_l END"
+        d = d.withColumn("_ew_p", F.expr(f"coalesce(sum({closing}) {before}, 0.0D) * pow({q!r}D, _ew_o + 1)"))
+        d = d.withColumn(name, F.expr(f"CASE WHEN _ew_c >= {max(min_periods, 1)} THEN {value} END"))
+        out = d.drop("_ew_c", "_ew_o", "_ew_b", "_ew_l", "_ew_p")
     return out
