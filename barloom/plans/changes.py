@@ -88,7 +88,7 @@ def stream_bars(spark, sf):
     bars = S.stream_bars(_tick_stream(spark, sf))
     S.run_to_parquet(bars, out, work_dir(spark, "stream-bars-cp"))
     b = spark.read.parquet(out)
-    return b.select("symbol", F.col("w.start").cast("date").alias("day"), "open", "high", "low", "close", "volume")
+    return b.select("symbol", S.utc_wall(F.col("w.start")).cast("date").alias("day"), "open", "high", "low", "close", "volume")
 
 
 @query("sm_2_stream_alerts", f"""WITH {SBARS}, l AS (SELECT symbol, day, CASE WHEN close > 30 THEN 'HIGH' ELSE 'LOW' END AS label, lag(CASE WHEN close > 30 THEN 'HIGH' ELSE 'LOW' END) OVER (PARTITION BY symbol ORDER BY day) AS prev_label FROM sb)
@@ -99,7 +99,7 @@ def stream_alerts(spark, sf):
     alerts = S.stream_alerts(S.stream_bars(_tick_stream(spark, sf)), F.when(F.col("close") > 30, "HIGH").otherwise("LOW"))
     S.run_to_parquet(alerts, out, work_dir(spark, "stream-alerts-cp"))
     a = spark.read.parquet(out)
-    return a.select("symbol", F.timestamp_micros("at").cast("date").alias("day"), "prev_label", "label")
+    return a.select("symbol", S.utc_wall(F.timestamp_micros("at")).cast("date").alias("day"), "prev_label", "label")
 
 
 @query("sm_3_stream_topic_counts", f"""WITH {LOW}, d AS (SELECT date, {', '.join(f'sum({occ_sql(k)}) AS {n}' for n, k in TOPICS.items())} FROM low GROUP BY 1),
@@ -109,10 +109,10 @@ def stream_alerts(spark, sf):
 def stream_topic_counts(spark, sf):
     d = S.read_stream(spark, f"{sf}/documents.parquet")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
-    h = d.select("doc_id", "text", day.cast("timestamp").alias("ts"))
+    h = d.select("doc_id", "text", day.cast("timestamp_ntz").alias("ts"))
     out = work_dir(spark, "stream-topics")
     S.run_to_parquet(S.stream_topic_counts(h, TOPICS), out, work_dir(spark, "stream-topics-cp"))
-    return spark.read.parquet(out).select(F.col("w.end").cast("date").alias("window_end"), "topic", "hits")
+    return spark.read.parquet(out).select(S.utc_wall(F.col("w.end")).cast("date").alias("window_end"), "topic", "hits")
 
 
 @query("sm_4_stream_upsert", """WITH c AS (SELECT 'E' || CAST(o_custkey % 50 AS VARCHAR) AS event, CAST(o_orderdate AS DATE) AS date, o_orderkey AS id, o_totalprice AS value FROM orders)

@@ -1,7 +1,7 @@
 """Streaming bars, topic counts, alerts and idempotent upserts (SM).
 
-Times arrive without zone; a watermark needs a zoned timestamp, so they are cast with the session
-zone, which should be UTC.
+Times arrive without zone; a watermark needs an instant, so they are read as UTC, whatever the
+session zone is.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from barloom.operators.ranking import first_per_key
 from barloom.operators.text import Hits
@@ -30,8 +31,23 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(f"{path.rstrip('/')}*")
 
 
+EPOCH, EPOCH_WALL = "TIMESTAMP'1970-01-01 00:00:00Z'", "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def utc_instant(wall: Column) -> Column:
+    """Zone-less time -> the instant with that wall clock in UTC."""
+    return F.expr(EPOCH) + (wall - F.expr(EPOCH_WALL))
+
+
+def utc_wall(instant: Column) -> Column:
+    """Instant -> zone-less UTC wall clock."""
+    return F.expr(EPOCH_WALL) + (instant - F.expr(EPOCH))
+
+
 def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        df = df.withColumn(ts, utc_instant(F.col(ts)))
+    return df.withWatermark(ts, delay)
 
 
 def stream_bars(ticks: DataFrame, size: str = "1 day", delay: str = "1 hour", symbol: str = "symbol",
