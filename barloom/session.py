@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,14 +30,25 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is used.
+    Where that setting is absent, a session on one machine (local master: tests, a laptop) gets a temporary folder for
+    its lifetime; any other master is refused, as its executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="barloom-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _one_machine_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _one_machine_folder() -> str:
+    base = tempfile.mkdtemp(prefix="barloom-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the work folder and read it back.
 
