@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module of this package that holds it; a module's ORACLE_SQL is its DuckDB counterpart.
 MODULES = {
     "op2_quality": "quality",
+    "op6_packing": "packing",
     "op8_simhash": "simhash",
+    "op10_token_files": "tokenbin",
 }
 
 
