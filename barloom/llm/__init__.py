@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_quality": "quality",
     "op6_packing": "packing",
+    "op7_warc": "warc",
     "op8_simhash": "simhash",
     "op10_token_files": "tokenbin",
 }
