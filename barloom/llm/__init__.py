@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module of this package that holds it; a module's ORACLE_SQL is its DuckDB counterpart.
 MODULES = {
+    "op1_topk": "topk",
     "op2_quality": "quality",
     "op6_packing": "packing",
     "op7_warc": "warc",
