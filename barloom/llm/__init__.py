@@ -14,6 +14,7 @@ MODULES = {
     "op6_packing": "packing",
     "op7_warc": "warc",
     "op8_simhash": "simhash",
+    "op9_mixing": "mixing",
     "op10_token_files": "tokenbin",
 }
 
