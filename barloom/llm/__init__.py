@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_topk": "topk",
     "op2_quality": "quality",
+    "op3_repeats": "repeats",
     "op4_toxicity": "toxicity",
     "op6_packing": "packing",
     "op7_warc": "warc",

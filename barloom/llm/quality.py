@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import read, slices, stored
 
@@ -64,10 +66,9 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
 
 def _own_languages(docs: DataFrame, lang_share: float) -> list[str]:
     """Languages with a reference of their own: at most 1 / lang_share."""
-    langs = docs.groupBy("lang").agg(F.count("*").alias("rows"))
-    total = langs.agg(F.sum("rows").alias("all"))
-    own = langs.join(total, F.col("rows") >= lang_share * F.col("all")).filter("lang IS NOT NULL")
-    return sorted(row.lang for row in own.select("lang").collect())
+    least = lang_share * docs.count()
+    own = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least)
+    return sorted(row.lang for row in own.collect())
 
 
 def _common_words(docs: DataFrame, own: list[str], word_share: float) -> dict[str | None, list[bytes]]:
@@ -99,30 +100,40 @@ def _common_words(docs: DataFrame, own: list[str], word_share: float) -> dict[st
     return out
 
 
+NAMES = ("doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
+_COUNTS = NAMES[2:7]
+
+
+def _measure(part: pa.RecordBatch, words: dict[str | None, list[bytes]]) -> tuple[list[str | None], list[list]]:
+    """Reference used, and the base counts and both histograms (in the order of NAMES) of the rows of a batch."""
+    rows: list[list] = [[] for _ in NAMES[2:]]
+    key = []
+    for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+        text = text or b""
+        split = text.split()
+        hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        count = Counter(text.lower().split())
+        lang = lang if lang in words else None
+        key.append(lang)
+        common = [count[w] for w in words[lang]]
+        hist[_INNER] = 0
+        classes = np.bincount(_CLASS, weights=hist, minlength=len(CLASSES)).astype(np.int64)
+        for to, value in zip(rows, (
+            len(split), int(hist.sum()) - int(hist[9:14].sum()) - int(hist[32]), int(hist[list(SYMBOLS)].sum()),
+            len(lines) - len(set(lines)), repeated_words(split), classes.tolist(), [*common, len(split) - sum(common)],
+        ), strict=True):
+            to.append(value)
+    return key, rows
+
+
 def _measured(docs: DataFrame, words: dict[str | None, list[bytes]]) -> DataFrame:
     """The base counts and both histograms of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[list] = [[] for _ in range(7)]
-                key = []
-                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    text = text or b""
-                    split = text.split()
-                    hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-                    lines = [x for x in text.split(b"\n") if x.strip()]
-                    count = Counter(text.lower().split())
-                    lang = lang if lang in words else None
-                    key.append(lang)
-                    common = [count[w] for w in words[lang]]
-                    hist[_INNER] = 0
-                    classes = np.bincount(_CLASS, weights=hist, minlength=len(CLASSES)).astype(np.int64)
-                    for to, value in zip(rows, (
-                        len(split), int(hist.sum()) - int(hist[9:14].sum()) - int(hist[32]), int(hist[list(SYMBOLS)].sum()),
-                        len(lines) - len(set(lines)), repeated_words(split), classes.tolist(), [*common, len(split) - sum(common)],
-                    ), strict=True):
-                        to.append(value)
+                key, rows = _measure(part, words)
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
                 arrays = [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key, pa.string()), *arrays], [*NAMES])
@@ -130,9 +141,6 @@ def _measured(docs: DataFrame, words: dict[str | None, list[bytes]]) -> DataFram
     return docs.mapInArrow(run, "doc_id long, ref string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>")
 
 
-NAMES = ("doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
-
-
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (base 2, 0 to 1) of each row of counts p from the counts q; 0 where either is empty."""
     n, m = p.sum(axis=1, keepdims=True), q.sum()
@@ -142,29 +150,45 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((n[:, 0] > 0) & (m > 0), np.sqrt(np.maximum(parts.sum(axis=1) / 2, 0.0)), 0.0)
 
 
-def _distances(rows: DataFrame) -> DataFrame:
-    """The rows with the distances of both histograms from those of their language."""
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds and references that judge a text; the parameters are those of `quality`."""
+
+    words: dict
+    refs: dict
+    most_class: float
+    most_word: float
+    least_chars: int
+    least_words: int
+
+    def judge(self, key: list[str | None], rows: list[list]) -> tuple[np.ndarray, ...]:
+        """(base_failed, class distance, word distance, kept) of measured rows; nan: too short to compare."""
+        n_words, word_chars, _, _, n_repeat = (np.array(r, np.int64) for r in rows[:5])
+        groups: dict[str | None, list[int]] = defaultdict(list)
+        for i, ref in enumerate(key):
+            groups[ref].append(i)
+        found = {"classes": np.zeros(len(key)), "common": np.zeros(len(key))}
+        for (kind, to), values in zip(found.items(), rows[5:], strict=True):
+            for ref, at in groups.items():
+                to[at] = js_distance(np.array([values[i] for i in at], np.float64), np.array(self.refs[ref, kind], np.float64))
+        by_class = np.where(word_chars >= self.least_chars, found["classes"], np.nan)
+        by_word = np.where(n_words >= self.least_words, found["common"], np.nan)
+        base = (n_words < 20) | (100 * n_repeat > 30 * n_words)
+        return base, by_class, by_word, ~base & ~(by_class > self.most_class) & ~(by_word > self.most_word)
+
+
+def _summed(rows: DataFrame) -> dict[tuple[str | None, str], list[int]]:
+    """Histograms of each reference over all its rows: as many numbers as languages times words, both bounded."""
     place = lambda name: rows.select("ref", F.lit(name).alias("kind"), F.posexplode(name).alias("at", "n"))
     summed = place("classes").union(place("common")).groupBy("ref", "kind", "at").agg(F.sum("n").alias("n"))
-    refs: dict[tuple, list] = defaultdict(list)
-    for row in summed.sort("ref", "kind", "at").collect():  # as many as languages times words, both bounded
+    refs: dict[tuple[str | None, str], list[int]] = defaultdict(list)
+    for row in summed.sort("ref", "kind", "at").collect():
         refs[row.ref, row.kind].append(row.n)
+    return dict(refs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("ref").to_pylist()
-            groups: dict[str | None, list[int]] = defaultdict(list)
-            for i, ref in enumerate(key):
-                groups[ref].append(i)
-            found = {kind: np.zeros(len(key)) for kind in ("classes", "common")}
-            for ref, at in groups.items():
-                for kind, to in found.items():
-                    own = np.array(batch.column(kind).take(pa.array(at)).to_pylist(), np.float64)
-                    to[at] = js_distance(own, np.array(refs[ref, kind], np.float64))
-            kept = [batch.column(c) for c in NAMES[:1] + NAMES[2:7]]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found.values())], [*NAMES[:1], *NAMES[2:7], "class_distance", "word_distance"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double")
+def _inputs(docs: DataFrame, doc_id: str, text: str, lang: str, *more: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"), *more)
 
 
 def quality(
@@ -176,19 +200,41 @@ def quality(
     kept is false if base_failed (under 20 words, or over 30 % of the words repeat in windows of eight), or the class
     distance is over most_class (texts of least_chars word characters or more), or the word distance is over most_word
     (texts of least_words words or more). A null or empty text has no words and fails the base rules. Null and rare
-    languages share one reference, summed over all their documents. Repeated rows are judged alike, each on its own; an empty table
-    gives no rows; further columns of `docs` are not read.
+    languages share one reference, summed over all their documents. Repeated rows are judged alike, each on its own; an
+    empty table gives no rows; further columns of `docs` are not read.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
+    rows, rules = _fitted(_inputs(docs, doc_id, text, lang), word_share, lang_share, most_class, most_word, least_chars, least_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = rules.judge(batch.column("ref").to_pylist(), [batch.column(c).to_pylist() for c in NAMES[2:]])
+            kept = [batch.column(c) for c in ("doc_id", *_COUNTS)]
+            arrays = [pa.array(x, from_pandas=True) for x in found]  # nan becomes null
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], ["doc_id", *_COUNTS, "base_failed", "class_distance", "word_distance", "kept"])
+
+    counts = ", ".join(f"{c} long" for c in _COUNTS)
+    return rows.mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+
+
+def _fitted(docs: DataFrame, word_share: float, lang_share: float, *thresholds: float) -> tuple[DataFrame, Rules]:
     words = _common_words(docs, _own_languages(docs, lang_share), word_share)
     rows = stored(_measured(docs, words), "measured")
-    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = _distances(rows).withColumn("base_failed", base_failed).withColumns({
-        "class_distance": F.when(F.col("word_chars") >= least_chars, F.col("class_distance")),
-        "word_distance": F.when(F.col("n_words") >= least_words, F.col("word_distance")),
-    })
-    far = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.coalesce(F.col("word_distance") > most_word, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far)
+    return rows, Rules(words, _summed(rows), *thresholds)
+
+
+def keep_good(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.001, most_class: float = 0.29, most_word: float = 0.34, least_chars: int = 200, least_words: int = 60) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang and any others) that `quality` keeps, without a shuffle of the texts."""
+    _, rules = _fitted(_inputs(docs, "doc_id", "text", "lang"), word_share, lang_share, most_class, most_word, least_chars, least_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.select(["row"]).filter(pa.array(rules.judge(*_measure(part, rules.words))[3]))
+
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = _inputs(docs.withColumn("_row", row), "doc_id", "text", "lang", "_row").withColumnRenamed("_row", "row")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
+    return rows.select("lang", "text", "row").mapInArrow(run, schema).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
