@@ -13,6 +13,7 @@ MODULES = {
     "op2_quality": "quality",
     "op3_repeats": "repeats",
     "op4_toxicity": "toxicity",
+    "op5_editcount": "editcount",
     "op6_packing": "packing",
     "op7_warc": "warc",
     "op8_simhash": "simhash",
