@@ -119,6 +119,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int64)), pa.array(place, pa.int64())], [*batch.schema.names, "part", "place"])
 
     sort = ("length", "doc_id", "piece", "start", "ids_crc32")
+    rows = stored(rows, "pieces")  # a range sort reads its input twice: not the tokenizer
     rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(number, PIECES + ", part long, place long")
     return stored(rows, "ranked")
 
