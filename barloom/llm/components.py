@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each node's component, for every node that has a link.
+    """(node, label): the smallest node of each node's component, for every node that has a smaller one in its component.
 
     Links may repeat, point either way or join a node to itself; null ends are ignored. Every round is written to the
     shared folder, so the plan stays short and a lost executor costs one round.

@@ -86,7 +86,11 @@ def count_trees(docs: DataFrame, vocabulary: str, leaf_bytes: int = 512, doc_id:
                 tokens = np.diff(encode(leaves)[1])
                 chars = np.diff(np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[borders])
                 edge = np.searchsorted(borders, at)
-                rows = [(borders[a : b + 1] - borders[a], heap(chars[a:b]), heap(tokens[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                none = np.zeros(1, np.int64)
+                rows = [
+                    (borders[a : b + 1] - borders[a], heap(chars[a:b]), heap(tokens[a:b])) if b > a else (np.zeros(2, np.int64), heap(none), heap(none))
+                    for a, b in zip(edge[:-1], edge[1:], strict=True)
+                ]
                 lists = [pa.array(list(c), pa.list_(pa.int32())) for c in (zip(*rows, strict=True) if rows else [()] * 3)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text").fill_null(""), *lists, *(part.column(c) for c in extra)], ["doc_id", "text", "borders", "chars", "tokens", *extra])
 

@@ -142,12 +142,17 @@ def _measured(docs: DataFrame, words: dict[str | None, list[bytes]]) -> DataFram
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (base 2, 0 to 1) of each row of counts p from the counts q; 0 where either is empty."""
+    """Jensen-Shannon distance (base 2, 0 to 1) of each row of counts p from the counts q; 0 where either is empty.
+
+    A sample of n draws from q itself has a squared distance of about (classes - 1) / (8 n ln 2); that much is taken off,
+    so that short texts are not further away for being short.
+    """
     n, m = p.sum(axis=1, keepdims=True), q.sum()
     p, q = p / np.maximum(n, 1), np.broadcast_to(q / max(m, 1), p.shape)
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = np.where(p > 0, p * np.log2(2 * p / (p + q)), 0.0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0.0)
-    return np.where((n[:, 0] > 0) & (m > 0), np.sqrt(np.maximum(parts.sum(axis=1) / 2, 0.0)), 0.0)
+    by_chance = max(0, np.count_nonzero(q[0] if len(q) else q) - 1) / (8 * np.log(2) * np.maximum(n[:, 0], 1))
+    return np.where((n[:, 0] > 0) & (m > 0), np.sqrt(np.maximum(parts.sum(axis=1) / 2 - by_chance, 0.0)), 0.0)
 
 
 @dataclass(frozen=True)
@@ -193,7 +198,7 @@ def _inputs(docs: DataFrame, doc_id: str, text: str, lang: str, *more: str) -> D
 
 def quality(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", word_share: float = 0.005, lang_share: float = 0.001,
-    most_class: float = 0.29, most_word: float = 0.34, least_chars: int = 200, least_words: int = 60,
+    most_class: float = 0.28, most_word: float = 0.25, least_chars: int = 200, least_words: int = 40,
 ) -> DataFrame:
     """Base counts, distances and verdict of every row of `docs`.
 
@@ -222,7 +227,7 @@ def _fitted(docs: DataFrame, word_share: float, lang_share: float, *thresholds:
     return rows, Rules(words, _summed(rows), *thresholds)
 
 
-def keep_good(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.001, most_class: float = 0.29, most_word: float = 0.34, least_chars: int = 200, least_words: int = 60) -> DataFrame:
+def keep_good(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.001, most_class: float = 0.28, most_word: float = 0.25, least_chars: int = 200, least_words: int = 40) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang and any others) that `quality` keeps, without a shuffle of the texts."""
     _, rules = _fitted(_inputs(docs, "doc_id", "text", "lang"), word_share, lang_share, most_class, most_word, least_chars, least_words)
 

@@ -59,30 +59,32 @@ def _automaton(lexicon: Lexicon):
 
     a = ahocorasick.Automaton()
     for pattern, weight in lexicon.weights:
-        a.add_word(f" {pattern}", (len(pattern) + 1, weight))
+        a.add_word(f" {pattern}", (pattern, weight))
     for phrase in lexicon.exceptions:
-        a.add_word(f" {phrase} ", (len(phrase) + 2, None))
+        a.add_word(f" {phrase} ", (phrase, None))
     a.make_automaton()
     return a if len(a) else None
 
 
-def features(text: str | None, lexicon: Lexicon) -> tuple[float, float]:
-    """(log of the weight per thousand words, log of the whole weight); every word counts its heaviest pattern."""
-    words = folded(text)
+def hits(words: list[str], lexicon: Lexicon) -> list[tuple[str, float]]:
+    """(pattern, weight) of every word that begins with a pattern, the heaviest one, unless an exception phrase holds it."""
     automaton = _automaton(lexicon)
     if not words or automaton is None:
-        return 0.0, 0.0
-    best: dict[int, float] = {}
+        return []
+    best: dict[int, tuple[str, float]] = {}
     excused: list[tuple[int, int]] = []
-    for end, (length, weight) in automaton.iter(f" {' '.join(words)} "):
-        start = end - length + 1
+    for end, (pattern, weight) in automaton.iter(f" {' '.join(words)} "):
         if weight is None:
-            excused.append((start, end))
-        elif weight > best.get(start, 0.0):
-            best[start] = weight
-    if excused:
-        best = {at: w for at, w in best.items() if not any(s <= at < e for s, e in excused)}
-    total = sum(best.values())
+            excused.append((end - len(pattern) - 1, end))
+        elif weight > best.get(end - len(pattern), ("", 0.0))[1]:
+            best[end - len(pattern)] = (pattern, weight)
+    return [hit for at, hit in best.items() if not any(s <= at < e for s, e in excused)]
+
+
+def features(text: str | None, lexicon: Lexicon) -> tuple[float, float]:
+    """(log of the weight per thousand words, log of the whole weight)."""
+    words = folded(text)
+    total = sum(weight for _, weight in hits(words, lexicon))
     return float(np.log1p(1000 * total / (len(words) + 20))), float(np.log1p(total))
 
 
@@ -106,7 +108,7 @@ def _count(rows: DataFrame, schema: str, count) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy("key", "toxic").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int = 5, least_docs: int = 5, least_odds: float = 12.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int = 5, least_docs: int = 5, least_odds: float = 6.0) -> Lexicon:
     """Lexicon from labelled rows. A word beginning gets the log-odds of toxic against clean documents as its weight.
 
     It is taken in if at least least_docs toxic documents hold it and its odds are least_odds or more, and if no shorter
@@ -138,7 +140,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: in
         return found
 
     clean = {r.key: r.n for r in _count(rows, schema, of_clean).collect()}
-    odds = {b: (first[b, 1] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean.get(b, 0) + 0.5) for b in candidates}
+    ratio = lambda t, c: (t + 0.5) / (n_toxic + 1) * (n_clean + 1) / (c + 0.5)
+    odds = {b: ratio(first[b, 1], clean.get(b, 0)) for b in candidates}
     chosen = {b: (float(np.log(o)), first[b, 1]) for b, o in odds.items() if o >= least_odds}
     kept = {b: w for b, (w, n) in chosen.items() if not any(b[:i] in chosen and chosen[b[:i]][0] >= w - 0.7 for i in range(1, len(b)))}
     lexicon = Lexicon(tuple(sorted(kept.items())), ())
@@ -156,6 +159,17 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: in
         near.setdefault(r.key, [0, 0])[r.toxic] = r.n
     exceptions = tuple(sorted(p for p, (c, t) in near.items() if c >= 3 and c * n_toxic >= 20 * max(t, 0.1) * n_clean))
     lexicon = Lexicon(lexicon.weights, exceptions)
+    if exceptions:  # the weights without the hits that are excused now
+
+        def left(pairs) -> Counter:
+            found: Counter = Counter()
+            for text, toxic in pairs:
+                found.update((p, int(bool(toxic))) for p in {p for p, _ in hits(folded(text), lexicon)})
+            return found
+
+        seen = {(r.key, r.toxic): r.n for r in _count(rows, schema, left).collect()}
+        again = {p: ratio(seen.get((p, 1), 0), seen.get((p, 0), 0)) for p, _ in lexicon.weights if seen.get((p, 1), 0) >= least_docs}
+        lexicon = Lexicon(tuple(sorted((p, float(np.log(o))) for p, o in again.items() if o >= least_odds)), exceptions)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
