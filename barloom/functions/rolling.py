@@ -224,6 +224,11 @@ def rank_pct_full(x, by: Keys = BY) -> Column:
     )
 
 
+def pct_le_tail(x, n, by: Keys = BY, order: Keys = ORDER) -> Column:
+    """Share of the last n values (the own one included) that is <= x; nothing looks ahead."""
+    return F.when(col(x).isNotNull(), _place(x, n, by, order, lambda a: F.try_divide(a.less + a.same, a.n)))
+
+
 def pct_le_full(x, by: Keys = BY) -> Column:
     """Share of the full sample that is <= x."""
     return F.cume_dist().over(Window.partitionBy(*_names(by)).orderBy(col(x)))

@@ -44,8 +44,7 @@ def running_total(df: DataFrame, x: str, keys: Sequence[str], order: Sequence[st
 def chunked(df: DataFrame, lookback: int, keys: Sequence[str], order: Sequence[str], bucket: Column,
             chunk_rows: int = 1_000_000) -> DataFrame:
     """Add `_chunk` (window key) and `_halo` (rows copied in from the chunk before)."""
-    if lookback > chunk_rows:
-        raise ValueError("lookback must not exceed chunk_rows")
+    chunk_rows = max(chunk_rows, lookback)  # the rows copied in come from one chunk
     n = number_rows(df, keys, order, bucket, "_rn")
     own = F.floor((F.col("_rn") - 1) / chunk_rows)
     tail = (F.col("_rn") - 1) % chunk_rows >= chunk_rows - lookback

@@ -130,21 +130,27 @@ def corr_haircut(sizing: DataFrame, corr: DataFrame, high: float = 0.70, low: fl
 
 
 def portfolio_vol_dd(sizing: DataFrame, corr: DataFrame, missing: float = 0.3) -> DataFrame:
-    """Portfolio volatility over all tracked pairs, drawdown estimate and level (one row)."""
+    """Portfolio volatility over all pairs of active positions, drawdown estimate and level (one row).
+
+    A pair without a correlation counts with `missing`; without an active position the level is NONE. Positions are one
+    row per tracked symbol. The sum over all pairs is the square of the summed risks with correlation `missing`, put
+    right for the pairs that have one, so no pair rows are made.
+    """
     act = sizing.filter(F.col("bias").isin("LONG", "SHORT") & (F.col("adj_position") > 0))
     risk = act.select("symbol", (F.col("adj_position") / 100.0 * F.col("annual_vol")).alias("_r"))
-    own = risk.select((F.col("_r") * F.col("_r")).alias("_v"))
+    r = F.col("_r")
+    own = risk.select((r * r * (1 - missing)).alias("_v"), r.alias("_s"), F.lit(1).alias("_n"))
     cross = (
-        _both_ways(corr)
+        _both_ways(corr).filter(F.col("a") != F.col("b"))
         .join(risk.select(F.col("symbol").alias("a"), F.col("_r").alias("_x")), "a")
         .join(risk.select(F.col("symbol").alias("b"), F.col("_r").alias("_y")), "b")
-        .select((F.col("_x") * F.col("_y") * F.coalesce("corr", F.lit(missing))).alias("_v"))
+        .select((F.col("_x") * F.col("_y") * F.coalesce(F.col("corr") - missing, F.lit(0.0))).alias("_v"), F.lit(0.0).alias("_s"), F.lit(0).alias("_n"))
     )
-    vol = F.sqrt(F.greatest(F.coalesce(F.sum("_v"), F.lit(0.0)), F.lit(0.0)))
-    one = own.unionByName(cross).agg(vol.alias("port_vol"))
+    total = F.coalesce(F.sum("_v"), F.lit(0.0)) + missing * F.pow(F.coalesce(F.sum("_s"), F.lit(0.0)), F.lit(2))
+    one = own.unionByName(cross).agg(F.sqrt(F.greatest(total, F.lit(0.0))).alias("port_vol"), F.sum("_n").alias("_n"))
     dd = F.round(F.col("port_vol") * 1.65 * 100.0, 2)
-    return one.withColumn("max_dd_pct", dd).withColumn(
-        "level", ladder("max_dd_pct", [(">=", 25.0, "CRITICAL"), (">=", 15.0, "WARNING")], "OK"))
+    level = ladder("max_dd_pct", [(">=", 25.0, "CRITICAL"), (">=", 15.0, "WARNING")], "OK")
+    return one.withColumn("max_dd_pct", dd).withColumn("level", F.when(F.col("_n") > 0, level).otherwise("NONE")).drop("_n")
 
 
 def action_text(level: str | Column = "level") -> Column:

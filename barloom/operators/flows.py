@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import cumulative, lag, pct_le_full
+from barloom.functions.rolling import cumulative, lag, pct_le_full, pct_le_tail
 from barloom.functions.scalar import ladder, map_label
 
 
@@ -30,14 +30,18 @@ def streak_signal(df: DataFrame, long_run: int = 5, heavy: float = 5000.0, net:
     return df.withColumn("flow_signal", label)
 
 
+# Fixed values.
 COT_STEPS = [(">=", 80.0, "CONTRARIAN_BEARISH"), ("<=", 20.0, "CONTRARIAN_BULLISH"),
              (">=", 60.0, "MILDLY_BEARISH"), ("<=", 40.0, "MILDLY_BULLISH")]
 
 
-def cot_percentile(positions: DataFrame, by: str = "contract") -> DataFrame:
-    """Net position, its share of history at or below, and the contrarian label."""
+def cot_percentile(positions: DataFrame, by: str = "contract", history: int | None = 520) -> DataFrame:
+    """Net position, its share of history at or below, and the contrarian label.
+
+    History: the last `history` rows up to the row; None is the full sample, for the newest row only (it looks ahead).
+    """
     p = positions.withColumn("net", F.col("long") - F.col("short"))
-    p = p.withColumn("pct", pct_le_full("net", by=by) * 100.0)
+    p = p.withColumn("pct", (pct_le_full("net", by=by) if history is None else pct_le_tail("net", history, by=by)) * 100.0)
     return p.withColumn("signal", ladder("pct", COT_STEPS, "NEUTRAL"))
 
 

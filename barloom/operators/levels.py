@@ -77,6 +77,7 @@ def technical_levels(bars: DataFrame) -> DataFrame:
     return last.join(nearest_levels(bars), "symbol")
 
 
+# Fixed values.
 WIDTH = {"HIGH": 0.85, "MEDIUM": 1.00, "LOW": 1.20, "NONE": 1.40}
 
 

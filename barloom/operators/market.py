@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import block_mean_change, lag, pct_le_full, rolling_std, sma
+from barloom.functions.rolling import block_mean_change, lag, pct_le_full, pct_le_tail, rolling_std, sma
 from barloom.functions.scalar import col, ladder, map_label
 from barloom.operators.options import IV_STEPS
 from barloom.operators.ranking import first_per_key
@@ -30,21 +30,27 @@ def vol_term_structure(df: DataFrame, vix: str, n: int = 30, by: Sequence[str] =
 BASIS_ADJUST = {"BACKWARDATION": 0.15, "MILD_BACKWARDATION": 0.05, "NORMAL": 0.0, "CONTANGO": -0.05, "DEEP_CONTANGO": -0.15}
 
 
-def futures_basis(df: DataFrame, front: str, second: str, normal: float, by: Sequence[str] = ()) -> DataFrame:
-    """Front minus second contract: status, adjustments, share of history and 5/5 trend."""
+def futures_basis(df: DataFrame, front: str, second: str, normal: float, by: Sequence[str] = (),
+                  history: int | None = 1260) -> DataFrame:
+    """Front minus second contract: status, adjustments, share of history and 5/5 trend.
+
+    The share is that of the last `history` rows up to the row; None ranks in the full sample, which is for the newest
+    row only, as it looks ahead in all others.
+    """
     d = df.withColumn("basis", F.col(front) - F.col(second))
     b, adj = F.col("basis"), F.col("basis") - normal
     status = (
         F.when(b.isNull(), "UNKNOWN").when(b > 0, "BACKWARDATION").when(adj > 0.5, "MILD_BACKWARDATION")
         .when(adj < -2.5, "DEEP_CONTANGO").when(adj < -0.5, "CONTANGO").otherwise("NORMAL")
     )
-    d = d.withColumns({"status": status, "basis_pct": pct_le_full("basis", by=by) * 100.0,
+    d = d.withColumns({"status": status, "basis_pct": (pct_le_full("basis", by=by) if history is None else pct_le_tail("basis", history, by=by)) * 100.0,
                        "_c": block_mean_change("basis", 5, 5, by=by)})
     return d.withColumns({
         "adj_long": map_label("status", BASIS_ADJUST, 0.0), "adj_short": -map_label("status", BASIS_ADJUST, 0.0),
         "trend": ladder("_c", [(">", 0.5, "IMPROVING"), ("<", -0.5, "DETERIORATING")], "STABLE", "UNKNOWN")}).drop("_c")
 
 
+# Fixed values.
 GAP_STEPS = [("<", 0.3, "SMALL"), ("<", 0.8, "MEDIUM"), ("<", 1.5, "LARGE")]
 
 
@@ -120,7 +126,7 @@ TRACKED_EVENTS = [
 
 def calendar_match(df: DataFrame, rules: Sequence[tuple[str, str, str]] = TRACKED_EVENTS,
                    domestic: Sequence[str] = ("US", "USD"), as_of: Column | None = None, days: int = 14,
-                   title: str = "event", date: str = "date") -> DataFrame:
+                   title: str = "event", date: str = "date", name_letters: int | None = None) -> DataFrame:
     """Canonical name and impact of high/medium events; unmatched high-impact domestic ones stay.
 
     With `as_of`, only the next `days` days are kept (a range filter that reaches the scan).
@@ -137,15 +143,17 @@ def calendar_match(df: DataFrame, rules: Sequence[tuple[str, str, str]] = TRACKE
     keep = (F.col("impact") == "HIGH") & F.upper("country").isin(*domestic)
     d = d.withColumns({"_name": name, "_level": level}).filter(F.col("_name").isNotNull() | keep)
     return d.withColumns({
-        "event_name": F.coalesce("_name", F.substring(col(title), 1, 60)),
+        "event_name": F.coalesce("_name", col(title) if name_letters is None else F.substring(col(title), 1, name_letters)),
         "impact": F.coalesce("_level", F.col("impact"))}).drop("_name", "_level")
 
 
 IMPACT_ORDER = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 
 
-def calendar_merge(events: DataFrame, order: Sequence[Column], title: str = "event", date: str = "date") -> DataFrame:
-    """One row per (first 30 letters of the lower-case name, date), the first in `order`."""
-    keyed = events.withColumn("_k", F.substring(F.lower(col(title)), 1, 30))
+def calendar_merge(events: DataFrame, order: Sequence[Column], title: str = "event", date: str = "date",
+                   key_letters: int | None = None) -> DataFrame:
+    """One row per (lower-case name, date), the first in `order`; key_letters compares only so many letters of it."""
+    name = F.lower(col(title))
+    keyed = events.withColumn("_k", name if key_letters is None else F.substring(name, 1, key_letters))
     out = first_per_key(keyed, ["_k", date], order).drop("_k")
     return out.withColumn("impact_rank", map_label("impact", IMPACT_ORDER, 9))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import ladder
+from barloom.functions.scalar import col, ladder
 
 
 def strike_pain(chain: DataFrame, by: Sequence[str] = ("expiry",)) -> DataFrame:
@@ -100,15 +100,19 @@ def nearest_expiry(chain: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 SKEW_HIGH, SKEW_LOW = 1.20, 0.80
 
 
-def skew_ratio(chain: DataFrame, spot: float, width_pct: float = 2.0, price: str = "price",
+def skew_ratio(chain: DataFrame, spot: float, width_pct: float = 2.0, price: str | Column | None = None,
                by: Sequence[str] = ("expiry",)) -> DataFrame:
-    """Average put price just below spot over average call price just above it."""
+    """Average put price just below spot over average call price just above it.
+
+    The price is the close, else the last price (close_px, last_px), unless another column is given.
+    """
     k = F.col("strike")
+    value = F.coalesce("close_px", "last_px") if price is None else col(price)
     put = (F.col("opt_type") == "PE") & (k >= spot * (1 - width_pct / 100)) & (k < spot)
     call = (F.col("opt_type") == "CE") & (k <= spot * (1 + width_pct / 100)) & (k > spot)
     avgs = chain.groupBy(*by).agg(
-        F.avg(F.when(put, F.col(price))).alias("avg_put"),
-        F.avg(F.when(call, F.col(price))).alias("avg_call"),
+        F.avg(F.when(put, value)).alias("avg_put"),
+        F.avg(F.when(call, value)).alias("avg_call"),
     ).withColumn("skew_ratio", F.try_divide("avg_put", "avg_call"))
     label = (
         F.when(F.col("avg_put").isNull() | F.col("avg_call").isNull(), "INSUFFICIENT_STRIKES")

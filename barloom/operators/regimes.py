@@ -141,6 +141,7 @@ def scorecard(df: DataFrame, indicators: Sequence[str] = tuple(SCORECARD), date:
     return one.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
+# Fixed values.
 US = {"trend": 2.0, "cpi": 3.0}
 REGIONAL_STEPS = {"growth": (6.0, 5.0), "cpi": (6.0, 5.0)}
 
@@ -286,6 +287,7 @@ def corr_episodes(series: DataFrame, corr: str = "corr", by: Sequence[str] = ("a
     return g.withColumn("_k", F.row_number().over(rank)).filter(F.col("_k") <= top).drop("_k", "_run")
 
 
+# Fixed values.
 BETA_STEPS = [("<", -2.0, "HIGH_SENSITIVITY"), ("<", -0.5, "MEDIUM_SENSITIVITY"), (">", 2.0, "POSITIVE_CORRELATION")]
 # Adjustment per sensitivity and yield direction.
 BETA_ADJUST = {
@@ -343,6 +345,7 @@ def equal_weight_index(bars: DataFrame, members: int, value: str = "close", key:
     return common.withColumn("_i", 100.0 * F.col(value) / first).groupBy(date).agg(F.avg("_i").alias("index"))
 
 
+# Fixed values.
 BREADTH_ADJUST = {"HEALTHY_BREADTH": 0.05, "EXTREME_POLARIZATION": -0.15, "MILD_POLARIZATION": 0.0}
 
 
@@ -373,6 +376,7 @@ def fair_value_real_yield(df: DataFrame, price: str, real_yield: str, n: int = 1
     return d.withColumn("premium_pct", F.try_divide(F.col(price) - F.col("fair_value"), F.col("fair_value")) * 100.0)
 
 
+# Fixed values.
 PREMIUM_STEPS = [(">=", 30.0, "EXTREME_PREMIUM"), (">=", 15.0, "HIGH_PREMIUM"), (">=", 5.0, "MODERATE_PREMIUM"),
                  (">=", 0.0, "LOW_PREMIUM")]
 PREMIUM_TREND = [(">=", 3.0, "EXPANDING"), ("<=", -3.0, "CONTRACTING")]
@@ -393,6 +397,7 @@ def premium_class(df: DataFrame, premium: str = "premium_pct", by: Sequence[str]
     return d.withColumn("alert", alert)
 
 
+# Fixed values.
 PULSE_WEIGHTS = {"tga_score": 0.30, "bs_score": 0.25, "tp_score": 0.20, "ys_score": 0.15, "hy_score": 0.10}
 PULSE_STEPS = [(">=", 0.50, "HIGHLY_ACCOMMODATIVE"), (">=", 0.30, "ACCOMMODATIVE"), (">=", -0.10, "NEUTRAL"),
                (">=", -0.30, "TIGHTENING")]
@@ -448,6 +453,7 @@ def asset_adjustments(df: DataFrame, base: str = "adjustment", mult: Mapping[str
     return d.withColumns({"asset": F.col("_c.asset"), "asset_adjustment": F.round(F.col(base) * F.col("_c._m"), 4)}).drop("_c")
 
 
+# Fixed values.
 RV_STEPS = [(">=", 90.0, "EXTREME_HIGH"), (">=", 80.0, "HIGH"), ("<=", 10.0, "EXTREME_LOW"), ("<=", 20.0, "LOW")]
 
 

@@ -247,9 +247,23 @@ def by_class(columns: Mapping[str, Column | str], cls: str = "asset_class") -> C
     return out
 
 
-def asset_composite(components: DataFrame, backfill: bool = True) -> DataFrame:
-    """Composite of the seven components with the weights of the row's `asset`."""
+# Weight of the sentiment score, and the factor of the assets that take it.
+SENTIMENT_WEIGHT = 0.05
+SENTIMENT_OF = {"NIFTY": "equity", "SP500": "equity", "Gold": "gold"}
+
+
+def sentiment_term(score: str | Column, asset: str = "asset") -> Column:
+    """What the sentiment score adds to an asset's composite; nothing for assets without one or where it is missing."""
+    out = F.lit(0.0)
+    for name, cls in SENTIMENT_OF.items():
+        out = F.when(F.col(asset) == name, F.coalesce(sentiment_score(score, cls), F.lit(0.0))).otherwise(out)
+    return SENTIMENT_WEIGHT * out
+
+
+def asset_composite(components: DataFrame, backfill: bool = True, sentiment: str | None = None) -> DataFrame:
+    """Composite of the seven components with the weights of the row's `asset`, plus the term of the `sentiment` column."""
     weights = {
         c: map_label("asset", {a: ws[i] for a, ws in ASSET_WEIGHTS.items()}, 0.0) for i, c in enumerate(COMPONENTS)
     }
-    return composite(components, weights, backfill)
+    out = composite(components, weights, backfill)
+    return out if sentiment is None else out.withColumn("score", clip(F.col("score") + sentiment_term(sentiment), -1, 1))

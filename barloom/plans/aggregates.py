@@ -199,9 +199,9 @@ def union_all(spark, sf):
 
 
 @query("se_2_dedupe_keep_first", f"""WITH {V.CALENDAR} SELECT event, date, source, id FROM calendar
-  QUALIFY row_number() OVER (PARTITION BY substr(lower(event), 1, 30), date ORDER BY CASE source WHEN 'FEED' THEN 0 ELSE 1 END, id) = 1""")
+  QUALIFY row_number() OVER (PARTITION BY lower(event), date ORDER BY CASE source WHEN 'FEED' THEN 0 ELSE 1 END, id) = 1""")
 def dedupe_keep_first(spark, sf):
-    c = V.calendar(spark, sf).select("event", "date", "source", "id").withColumn("_k", F.substring(F.lower("event"), 1, 30))
+    c = V.calendar(spark, sf).select("event", "date", "source", "id").withColumn("_k", F.lower("event"))
     prio = F.when(F.col("source") == "FEED", 0).otherwise(1)
     return R.first_per_key(c, ["_k", "date"], [prio, F.col("id")]).drop("_k")
 

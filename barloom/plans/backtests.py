@@ -204,13 +204,13 @@ def weight_changes(spark, sf):
     return B.weight_changes(_weights(spark, sf)).select("symbol", "date", "component", "old_weight", "weight")
 
 
-DEC = f"""dec AS (SELECT symbol, date, CASE {SIG} WHEN 'Long' THEN 'LONG' ELSE 'SHORT' END AS bias FROM (SELECT *, row_number() {O} AS rn FROM mom) WHERE rn % 30 = 0 AND {SIG} <> 'Neutral'),
+DEC = f"""dec AS (SELECT symbol, date, CASE {SIG} WHEN 'Long' THEN 'LONG' ELSE 'SHORT' END AS bias FROM mom WHERE {SIG} <> 'Neutral'),
   lg AS (SELECT d.symbol, d.date, bias, p.close AS price_at_signal FROM dec d ASOF LEFT JOIN px p ON d.symbol = p.symbol AND d.date <= p.date WHERE year(d.date) > 1996)"""
 
 
 def _log(spark, sf):
-    s = scores(spark, sf).withColumns({"signal": score_to_signal("score"), "rn": row_no()})
-    dec = s.filter((F.col("rn") % 30 == 0) & (F.col("signal") != "Neutral"))
+    s = scores(spark, sf).withColumn("signal", score_to_signal("score"))
+    dec = s.filter(F.col("signal") != "Neutral")
     dec = dec.select("symbol", "date", F.when(F.col("signal") == "Long", "LONG").otherwise("SHORT").alias("bias"))
     old = dec.filter(F.year("date") <= 1996)
     return B.record_signals(dec, old, V.px(spark, sf))

@@ -303,13 +303,13 @@ def action_text(spark, sf):
 
 # ------------------------------------------------------------------------- friction
 
-PROX = V.CALENDAR + f""", hd AS (SELECT DISTINCT date AS e FROM calendar WHERE impact = 'HIGH' AND event IN ('E7', 'E21')),
+PROX = V.CALENDAR + f""", hd AS (SELECT DISTINCT date AS e FROM calendar WHERE impact = 'HIGH'),
   px8 AS (SELECT CAST(unnest(generate_series(e - 7, e, INTERVAL 1 DAY)) AS DATE) AS date, e FROM hd), pn AS (SELECT date, min(e - date) AS d, max(CASE WHEN e - date = 1 THEN 1 ELSE 0 END) AS t FROM px8 GROUP BY 1),
   ep AS (SELECT w.date, p5 / 12500.0 AS vix, coalesce(d = 0, false) AS event_today, coalesce(t = 1, false) AS event_tomorrow, coalesce(d <= 2, false) AS event_48h, coalesce(d <= 7, false) AS event_7d FROM wide w LEFT JOIN pn ON w.date = pn.date)"""
 
 
 def _prox(spark, sf):
-    c = V.calendar(spark, sf).filter((F.col("impact") == "HIGH") & F.col("event").isin("E7", "E21"))
+    c = V.calendar(spark, sf).filter(F.col("impact") == "HIGH")
     days = V.wide(spark, sf).select("date", (F.col("p5") / 12500.0).alias("vix"))
     return D.event_proximity(days, c)
 

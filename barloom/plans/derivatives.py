@@ -46,9 +46,15 @@ SKEW = """sk0 AS (SELECT expiry, avg(price) FILTER (opt_type = 'PE' AND strike >
   sk AS (SELECT *, ap / nullif(ac, 0) AS skew_ratio, CASE WHEN ap IS NULL OR ac IS NULL THEN 'INSUFFICIENT_STRIKES' WHEN ac = 0 THEN 'UNAVAILABLE' WHEN ap / ac >= 1.2 THEN 'ELEVATED_PUT_DEMAND' WHEN ap / ac <= 0.8 THEN 'ELEVATED_CALL_DEMAND' ELSE 'BALANCED' END AS skew_signal FROM sk0)"""
 
 
+def _priced(spark, sf):
+    """Options whose close is missing at every third strike, where the last price stands in."""
+    third = F.col("strike") % 30 == 0
+    return V.options(spark, sf).withColumns({"close_px": F.when(~third, F.col("price")), "last_px": F.when(third, F.col("price")).otherwise(0.0)})
+
+
 @query("opt_3_skew_ratio", f"WITH {V.OPTIONS}, {SKEW} SELECT expiry, round(skew_ratio, 6) AS skew_ratio, skew_signal FROM sk")
 def skew_ratio(spark, sf):
-    return OC.skew_ratio(V.options(spark, sf), SPOT, width_pct=20.0).select("expiry", rnd("skew_ratio").alias("skew_ratio"), "skew_signal")
+    return OC.skew_ratio(_priced(spark, sf), SPOT, width_pct=20.0).select("expiry", rnd("skew_ratio").alias("skew_ratio"), "skew_signal")
 
 
 TERM = V.WIDE + f""", v0 AS (SELECT date, p5 / 12500.0 AS vix FROM wide WHERE p5 IS NOT NULL), v1 AS (SELECT *, {roll('avg', 'vix', 30, **N)} AS far, {roll('stddev_samp', 'vix', 30, **N)} AS sd FROM v0),
@@ -70,7 +76,7 @@ OPTC = f"""{PCR}, {PAIN}, {SKEW}, cm AS (SELECT expiry, round({V.clip_sql(' + '.
 
 def _composite(spark, sf):
     o = V.options(spark, sf)
-    j = OC.pcr(o).join(OC.max_pain(o, SPOT), "expiry").join(OC.skew_ratio(o, SPOT, 20.0), "expiry")
+    j = OC.pcr(o).join(OC.max_pain(o, SPOT), "expiry").join(OC.skew_ratio(o, SPOT, 20.0, "price"), "expiry")
     j = j.withColumns({"pcr_signal": OC.pcr_label("pcr_oi"), "iv_regime": ladder(F.col("pcr_vol") * 20, OC.IV_STEPS, "COMPRESSED")})
     return OC.options_composite(j)
 
@@ -93,7 +99,8 @@ def nearest_expiry(spark, sf):
     return OC.nearest_expiry(V.options(spark, sf)).select("expiry", "strike", "opt_type", "oi")
 
 
-@query("po_1_cot_percentile", f"""WITH {V.POSITIONS}, n AS (SELECT contract, date, "long" - "short" AS net FROM positions), p AS (SELECT *, cume_dist() OVER (PARTITION BY contract ORDER BY net) * 100 AS pct FROM n)
+@query("po_1_cot_percentile", f"""WITH {V.POSITIONS}, n AS (SELECT contract, date, "long" - "short" AS net FROM positions), m AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY date) AS rn FROM n),
+  p AS (SELECT a.contract, a.date, a.net, CAST(count(*) FILTER (h.net <= a.net) AS DOUBLE) / count(*) * 100 AS pct FROM m a JOIN m h ON h.contract = a.contract AND h.rn BETWEEN a.rn - 519 AND a.rn GROUP BY 1, 2, 3)
   SELECT contract, date, net, round(pct, 6) AS pct, {ladder_sql('pct', FL.COT_STEPS, 'NEUTRAL')} AS signal FROM p""")
 def cot_percentile(spark, sf):
     return FL.cot_percentile(V.positions(spark, sf)).select("contract", "date", "net", rnd("pct").alias("pct"), "signal")
@@ -116,8 +123,9 @@ def flow_regime_combo(spark, sf):
     return FL.flow_regime_combo(j).select("date", "signal_key", "adjustment")
 
 
-@query("bs_1_futures_basis", f"""WITH {V.WIN}, b AS (SELECT date, (p3 - p4) / 10000 AS basis FROM win), s AS (SELECT *, CASE WHEN basis > 0 THEN 'BACKWARDATION' WHEN basis + 8 > 0.5 THEN 'MILD_BACKWARDATION' WHEN basis + 8 < -2.5 THEN 'DEEP_CONTANGO' WHEN basis + 8 < -0.5 THEN 'CONTANGO' ELSE 'NORMAL' END AS status,
-  cume_dist() OVER (ORDER BY basis) * 100 AS basis_pct, ({roll('avg', 'basis', 5, **N)}) - ({roll('avg', 'basis', 5, skip=5, **N)}) AS c FROM b)
+@query("bs_1_futures_basis", f"""WITH {V.WIN}, b0 AS (SELECT date, (p3 - p4) / 10000 AS basis, row_number() OVER (ORDER BY date) AS rn FROM win),
+  b AS (SELECT a.date, a.basis, CAST(count(*) FILTER (h.basis <= a.basis) AS DOUBLE) / count(*) * 100 AS basis_pct FROM b0 a JOIN b0 h ON h.rn BETWEEN a.rn - 1259 AND a.rn GROUP BY 1, 2), s AS (SELECT *, CASE WHEN basis > 0 THEN 'BACKWARDATION' WHEN basis + 8 > 0.5 THEN 'MILD_BACKWARDATION' WHEN basis + 8 < -2.5 THEN 'DEEP_CONTANGO' WHEN basis + 8 < -0.5 THEN 'CONTANGO' ELSE 'NORMAL' END AS status,
+  ({roll('avg', 'basis', 5, **N)}) - ({roll('avg', 'basis', 5, skip=5, **N)}) AS c FROM b)
   SELECT date, round(basis, 6) AS basis, status, round(basis_pct, 4) AS basis_pct, {map_sql('status', M.BASIS_ADJUST, 0.0)} AS adj_long, -({map_sql('status', M.BASIS_ADJUST, 0.0)}) AS adj_short,
   {ladder_sql('c', [('>', 0.5, 'IMPROVING'), ('<', -0.5, 'DETERIORATING')], 'STABLE', 'UNKNOWN')} AS trend FROM s""")
 def futures_basis(spark, sf):
@@ -195,7 +203,7 @@ def _match_sql(col: int) -> str:
 
 
 @query("ec_1_calendar_match", f"""WITH {V.CALENDAR}, m AS (SELECT *, {_match_sql(0)} AS nm, {_match_sql(1)} AS lv FROM calendar WHERE impact IN ('HIGH', 'MEDIUM'))
-  SELECT id, coalesce(nm, substr(event, 1, 60)) AS event_name, coalesce(lv, impact) AS impact FROM m WHERE nm IS NOT NULL OR (impact = 'HIGH' AND country IN ('7', '12'))""")
+  SELECT id, coalesce(nm, event) AS event_name, coalesce(lv, impact) AS impact FROM m WHERE nm IS NOT NULL OR (impact = 'HIGH' AND country IN ('7', '12'))""")
 def calendar_match(spark, sf):
     return M.calendar_match(V.calendar(spark, sf), CAL_RULES, domestic=("7", "12")).select("id", "event_name", "impact")
 
@@ -207,7 +215,7 @@ def calendar_window(spark, sf):
     return d.select("id", "date", "event_name", "impact")
 
 
-@query("ec_2_calendar_merge", f"""WITH {V.CALENDAR}, d AS (SELECT * FROM calendar QUALIFY row_number() OVER (PARTITION BY substr(lower(event), 1, 30), date ORDER BY CASE source WHEN 'FEED' THEN 0 ELSE 1 END, id) = 1),
+@query("ec_2_calendar_merge", f"""WITH {V.CALENDAR}, d AS (SELECT * FROM calendar QUALIFY row_number() OVER (PARTITION BY lower(event), date ORDER BY CASE source WHEN 'FEED' THEN 0 ELSE 1 END, id) = 1),
   o AS (SELECT event, date, 'OLD' AS source, 'LOW' AS impact FROM d WHERE year(date) = 1996 UNION ALL SELECT 'E0', DATE '1980-01-01', 'OLD', 'LOW')
   SELECT event, date, source, impact FROM d UNION ALL SELECT event, date, source, impact FROM o WHERE date = DATE '1980-01-01'""")
 def calendar_merge(spark, sf):

@@ -132,11 +132,18 @@ def curve_score(spark, sf):
 
 
 FX = f", fx0 AS (SELECT date, p2 / lag(p2, 20) OVER (ORDER BY date) - 1 AS m FROM wide WHERE p2 IS NOT NULL), fx AS (SELECT date, -({_norm_sql('m', by=None)}) AS fx_score FROM fx0)"
+# the dollar index is a series of its own; headlines of the day of the month stand for the day's sentiment
+DOLLAR = f""", dx0 AS (SELECT date, p1 / lag(p1, 20) OVER (ORDER BY date) - 1 AS m FROM wide WHERE p1 IS NOT NULL), dx AS (SELECT date, -({_norm_sql('m', by=None)}) AS fx_score FROM dx0),
+  {V.HEADLINES}, sn AS (SELECT CAST(day(date) AS INTEGER) AS dom, avg(base_score) AS sentiment FROM headlines GROUP BY 1)"""
 
 
-def _fx(spark, sf):
-    w = V.bars(spark, sf).filter("symbol = '2-HIGH'").select("date", F.col("close").alias("p2"))
-    return G.fx_score(w, "p2").select("date", "fx_score")
+def _fx(spark, sf, symbol="2-HIGH", out="fx_score"):
+    w = V.bars(spark, sf).filter(F.col("symbol") == symbol).select("date", F.col("close").alias("p2"))
+    return G.fx_score(w, "p2").select("date", F.col("fx_score").alias(out))
+
+
+def _sentiment(spark, sf):
+    return V.headlines(spark, sf).groupBy(F.dayofmonth("date").alias("_dom")).agg(F.avg("base_score").alias("sentiment"))
 
 
 @query("sg_8_fx_score", f"WITH {V.WIDE} {FX} SELECT date, round(fx_score, 6) AS fx_score FROM fx")
@@ -166,15 +173,18 @@ def _wt(i: int) -> str:
     return map_sql("symbol", {s: G.ASSET_WEIGHTS[a][i] for s, a in ROLE.items()}, 0.0)
 
 
-COMPOSITE = f"""{V.WIDE}, {V.mom_sql('bars')}, {rsi_sql('bars', 2 / 15, False, 1)}, {ROC}, {MACRO_DAILY.replace('macro AS', 'macro AS', 1)} {CURVE_DAILY} {FX},
+_SENT = "CASE " + " ".join(f"WHEN symbol = '{s}' THEN coalesce({clip_sql('sentiment * ' + f, -1.0, 1.0)}, 0.0)" for s, f in (
+    (s, {"NIFTY": "2.0", "SP500": "2.0", "Gold": "-1.5"}.get(a)) for s, a in ROLE.items()) if f) + " ELSE 0.0 END"
+COMPOSITE = f"""{V.WIDE}, {V.mom_sql('bars')}, {rsi_sql('bars', 2 / 15, False, 1)}, {ROC}, {MACRO_DAILY.replace('macro AS', 'macro AS', 1)} {CURVE_DAILY} {FX} {DOLLAR},
   vx AS (SELECT date, {VOLF} AS vol FROM wide WHERE p5 IS NOT NULL),
   cp AS (SELECT b.symbol, b.date, b.close, mom.score AS ma, {RSI_LADDER} AS rsi_s, rc.roc_score AS roc,
    CASE WHEN b.symbol IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN -vol * 0.5 ELSE vol END AS vol, {_pick('macro')} AS macro, {_pick('curve')} AS curve,
-   fx_score * {map_sql('b.symbol', {s: G.FX_FACTOR[a] for s, a in ROLE.items()})} AS fx
+   CASE WHEN b.symbol = {repr(next(s for s, a in ROLE.items() if a == 'NIFTY'))} THEN fx.fx_score ELSE dx.fx_score END * {map_sql('b.symbol', {s: G.FX_FACTOR[a] for s, a in ROLE.items()})} AS fx, sentiment
    FROM bars b JOIN mom USING (symbol, date) JOIN rsi USING (symbol, date) JOIN rc USING (symbol, date)
-   LEFT JOIN vx ON b.date = vx.date LEFT JOIN mq ON b.date = mq.date LEFT JOIN cu ON b.date = cu.date LEFT JOIN fx ON b.date = fx.date),
-  cf AS (SELECT symbol, date, close, {', '.join(_fill(c) for c in G.COMPONENTS)} FROM cp),
-  cs AS (SELECT symbol, date, close, {clip_sql('(' + ' + '.join(f'{c} * {_wt(i)}' for i, c in enumerate(G.COMPONENTS)) + ') / (' + ' + '.join(_wt(i) for i in range(7)) + ')', -1.0, 1.0)} AS score FROM cf)"""
+   LEFT JOIN vx ON b.date = vx.date LEFT JOIN mq ON b.date = mq.date LEFT JOIN cu ON b.date = cu.date LEFT JOIN fx ON b.date = fx.date LEFT JOIN dx ON b.date = dx.date LEFT JOIN sn ON day(b.date) = dom),
+  cf AS (SELECT symbol, date, close, sentiment, {', '.join(_fill(c) for c in G.COMPONENTS)} FROM cp),
+  c0 AS (SELECT symbol, date, close, sentiment, {clip_sql('(' + ' + '.join(f'{c} * {_wt(i)}' for i, c in enumerate(G.COMPONENTS)) + ') / (' + ' + '.join(_wt(i) for i in range(7)) + ')', -1.0, 1.0)} AS score FROM cf),
+  cs AS (SELECT symbol, date, close, {clip_sql('score + 0.05 * ' + _SENT, -1.0, 1.0)} AS score FROM c0)"""
 
 
 def components(spark, sf):
@@ -183,6 +193,8 @@ def components(spark, sf):
     vix = V.bars(spark, sf).filter("symbol = '5-LOW'").select("date", G.vol_filter(F.col("close") / 12500.0).alias("_vol"))
     j = ts.join(vix, "date", "left").join(_macro_daily(spark, sf), "date", "left")
     j = j.join(_curve_daily(spark, sf), "date", "left").join(_fx(spark, sf), "date", "left")
+    j = j.join(_fx(spark, sf, "1-URGENT", "dollar_score"), "date", "left")
+    j = j.withColumn("_dom", F.dayofmonth("date")).join(_sentiment(spark, sf), "_dom", "left")
     j = j.withColumn("asset", map_label("symbol", ROLE)).withColumn("asset_class", map_label("asset", G.ASSET_CLASS))
     return j.select(
         "symbol", "asset", "date", "close", F.col("score").alias("ma"), G.rsi_score().alias("rsi_s"),
@@ -190,12 +202,12 @@ def components(spark, sf):
         F.when(F.col("asset_class") == "gold", -F.col("_vol") * 0.5).otherwise(F.col("_vol")).alias("vol"),
         G.by_class({c: f"macro_{c}" for c in CLASSES}).alias("macro"),
         G.by_class({c: f"curve_{c}" for c in CLASSES}).alias("curve"),
-        (F.col("fx_score") * map_label("asset", G.FX_FACTOR)).alias("fx"))
+        (F.when(F.col("asset") == "NIFTY", F.col("fx_score")).otherwise(F.col("dollar_score")) * map_label("asset", G.FX_FACTOR)).alias("fx"), "sentiment")
 
 
 @query("sg_10_composite", f"WITH {COMPOSITE} SELECT symbol, date, round(score, 6) AS score FROM cs")
 def composite(spark, sf):
-    return G.asset_composite(components(spark, sf)).select("symbol", "date", rnd("score").alias("score"))
+    return G.asset_composite(components(spark, sf), sentiment="sentiment").select("symbol", "date", rnd("score").alias("score"))
 
 
 CONF = ladder_sql("abs(score)", G.CONVICTION_STEPS, "NONE", "NONE")

@@ -283,7 +283,7 @@ T_OVER = "OVER (PARTITION BY symbol ORDER BY ts, id"
 @query("wn_3_sma_ticks", f"""WITH {V.TICKS} SELECT symbol, id, round(CASE WHEN count(price) {T_OVER} ROWS 19 PRECEDING) >= 20
   THEN avg(price) {T_OVER} ROWS 19 PRECEDING) END, 6) AS ma20 FROM ticks""")
 def sma_ticks(spark, sf):
-    c = chunked(V.ticks(spark, sf), 19, ["symbol"], ["ts", "id"], F.col("ts").cast("date"), chunk_rows=500)
+    c = chunked(V.ticks(spark, sf), 19, ["symbol"], ["ts", "id"], F.col("ts").cast("date"))
     ma = W.sma("price", 20, by=("symbol", "_chunk"), order=("ts", "id"))
     return drop_halo(c.withColumn("ma20", ma)).select("symbol", "id", rnd("ma20").alias("ma20"))
 

@@ -16,10 +16,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _as_text(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
-
-
 def _typed(schema: T.StructType) -> list[Column]:
     """Cast text to the schema; a value that does not parse becomes missing."""
     out = []
@@ -31,28 +27,94 @@ def _typed(schema: T.StructType) -> list[Column]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """CSV under a fixed schema, values parsed one by one instead of failing the file."""
+#: Header names that stand for a column of the schema (price files of some exports head their dates "Price").
+ALIASES = {"date": ("date", "datetime", "price")}
+
+
+def _raw_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, fill: dict[str, Column]) -> DataFrame:
+    """Text columns of the schema, found by the lower-cased names of the header; `fill` gives those a file may lack."""
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.csv(paths, schema=_as_text(schema), header=True, enforceSchema=True)
-    return raw.select(*_typed(schema))
+    names = spark.read.csv(paths, header=True).columns
+    text = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    raw = spark.read.csv(paths, schema=text, header=True, enforceSchema=False)  # other headers in further files fail
+    place = {n.strip().lower(): n for n in reversed(names)}
+    out, missing = [], []
+    for f in schema:
+        found = next((place[a] for a in ALIASES.get(f.name, (f.name,)) if a in place), None)
+        if found is not None:
+            out.append(raw[found].alias(f.name))
+        elif f.name in fill:
+            out.append(fill[f.name].alias(f.name))
+        else:
+            missing.append(f.name)
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in the header {', '.join(names)}")
+    return raw.select(*out)
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, fill: dict[str, Column] | None = None) -> DataFrame:
+    """CSV files read by header name, values parsed one by one instead of failing the file.
+
+    All files of a call share one header; a missing column of the schema is an error unless `fill` gives it.
+    """
+    return _raw_csv(spark, path, schema, fill or {}).select(*_typed(schema))
+
+
+def _bar_fill(symbol: str | None) -> dict[str, Column]:
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)*$", 1)  # one file per instrument
+    return {"symbol": F.lit(symbol) if symbol else F.url_decode(name)}
+
+
+def read_bars(spark: SparkSession, path: str | Sequence[str], symbol: str | None = None) -> DataFrame:
+    """Bar files by header name. Without a symbol column it is the given one, else the file's name.
+
+    Lines whose date does not parse (junk header lines) are left out; `unread_bars` counts them.
+    """
+    return read_csv(spark, path, S.BARS, _bar_fill(symbol)).filter(F.col("date").isNotNull())
 
 
-def read_bars(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Bar files; junk header lines are the rows whose date does not parse."""
-    return read_csv(spark, path, S.BARS).filter(F.col("date").isNotNull())
+def unread_bars(spark: SparkSession, path: str | Sequence[str], symbol: str | None = None) -> DataFrame:
+    """(symbol, n): lines per symbol that `read_bars` leaves out."""
+    bars = read_csv(spark, path, S.BARS, _bar_fill(symbol))
+    return bars.filter(F.col("date").isNull()).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 def read_series(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Macro series; rows without a date or a value are dropped."""
+    """Macro series by header name; rows without a date or a value are dropped."""
     return read_csv(spark, path, S.SERIES).na.drop(subset=["date", "value"])
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Keyword rules `(topic, polarity, keyword)`; own rule sets arrive as files."""
-    cols = ("topic", "polarity", "keyword")
+def _rows(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-    return spark.read.csv(path, schema=schema, header=True).na.drop()
+    return _raw_csv(spark, path, schema, {}).na.drop()
+
+
+def read_rules(spark: SparkSession, path: str, most: int = 10_000) -> dict[str, list[str]]:
+    """Keyword rules from a file `topic, keyword`: topic -> keywords, topics and keywords in the order of their names."""
+    found: dict[str, list[str]] = {}
+    for row in _rows(spark, path, ("topic", "keyword")).distinct().sort("topic", "keyword").limit(most + 1).collect():
+        found.setdefault(row.topic, []).append(row.keyword.lower())
+    if sum(map(len, found.values())) > most:
+        raise ValueError(f"more than {most} rules")
+    return found
+
+
+def read_event_rules(spark: SparkSession, path: str, most: int = 10_000) -> dict[str, tuple[list[str], list[str], list[str]]]:
+    """Rules of `classify_events` from a file `event, kind, keyword`; kind: match, positive or negative."""
+    found: dict[str, tuple[list[str], list[str], list[str]]] = {}
+    place = {"match": 0, "positive": 1, "negative": 2}
+    rows = _rows(spark, path, ("event", "kind", "keyword")).distinct().sort("event", "kind", "keyword").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    for row in rows:
+        found.setdefault(row.event, ([], [], []))[place[row.kind.strip().lower()]].append(row.keyword.lower())
+    return found
+
+
+def read_impacts(spark: SparkSession, path: str) -> DataFrame:
+    """Impacts of `event_impact` from a file `event, asset, pos, neg`."""
+    schema = T.StructType([T.StructField(c, T.StringType() if c in ("event", "asset") else T.DoubleType(), True) for c in ("event", "asset", "pos", "neg")])
+    return read_csv(spark, path, schema).na.drop()
 
 
 def valid_bars(df: DataFrame, prices: Sequence[str] = ("open", "high", "low", "close")) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.ranking import first_per_key
@@ -33,19 +34,40 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataF
     return first_per_key(both, keys, [F.col("_new").desc()]).drop("_new")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def upsert_path(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str],
-                partition: str = "date") -> None:
+                partition: str = "date", order: Sequence[Column] = ()) -> None:
     """Upsert into a dataset partitioned by `partition`, which must be one of the keys.
 
-    Only the partitions of the incoming rows are read. They are materialised to the side first,
-    because a dataset cannot be overwritten while it is read.
+    An incoming row replaces the stored one with its key; with `order`, the first of both in that order stays, whenever
+    it came. Both sides must have the same columns. Only the partitions of the incoming rows are read. They are
+    materialised to a folder of this call's own first, because a dataset cannot be overwritten while it is read.
     """
     stored = spark.read.parquet(path)
-    touched = stored.join(incoming.select(partition).distinct(), partition, "left_semi")
-    merged = upsert(touched.select(*incoming.columns), incoming, keys)
-    side = f"{path.rstrip('/')}__merge"
-    write_replace(merged, side)
-    write_run_date(spark.read.parquet(side), path, partition)
+    if set(stored.columns) != set(incoming.columns):
+        raise ValueError(f"columns differ: {sorted(set(stored.columns) ^ set(incoming.columns))}")
+    touched = stored.join(incoming.select(partition).distinct(), partition, "left_semi").select(*incoming.columns)
+    merged = first_per_key(touched.unionByName(incoming), keys, order) if order else upsert(touched, incoming, keys)
+    side = f"{path.rstrip('/')}__merge-{uuid.uuid4().hex}"
+    try:
+        write_replace(merged, side)
+        write_run_date(spark.read.parquet(side), path, partition)
+    finally:
+        _remove(spark, side)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

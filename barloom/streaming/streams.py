@@ -6,10 +6,10 @@ session zone is.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -23,12 +23,16 @@ from barloom.sources import sinks
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Parquet files as a stream, under the schema of the files present.
 
-    `path` may be one file or a folder; the source itself wants a folder or a pattern.
+    `path` may be one file or a folder; the source itself wants a folder, so one file is its parent with a name filter.
     """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(f"{path.rstrip('/')}*")
+    path = path.rstrip("/")
+    if sinks.is_folder(spark, path):
+        return reader.parquet(path)
+    parent, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", name)).parquet(parent or ".")
 
 
 EPOCH, EPOCH_WALL = "TIMESTAMP'1970-01-01 00:00:00Z'", "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -122,22 +126,26 @@ def stream_upsert(stream: DataFrame, path: str, keys: Sequence[str], order: Sequ
                   partition: str) -> StreamingQuery:
     """Upsert every micro-batch into a partitioned dataset; a replayed batch changes nothing.
 
-    `partition` must be one of the keys, so a batch rewrites only the partitions it touches.
+    Of the rows with a key the first in `order` stays, however the input is split into batches. `partition` must be one
+    of the keys, so a batch rewrites only the partitions it touches.
     """
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = first_per_key(batch, keys, order)
-        try:
-            spark.read.parquet(path)
-        except AnalysisException:  # first batch
+        if sinks.path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+            sinks.upsert_path(spark, path, rows, keys, partition, order)
+        else:  # first batch
             sinks.write_run_date(rows, path, partition)
-        else:
-            sinks.upsert_path(spark, path, rows, keys, partition)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def stream_distinct(stream: DataFrame, keys: Sequence[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """The first row of each key that arrives; a key is forgotten once the watermark has passed, so state is bounded."""
+    return with_event_time(stream, ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all available input and write it to files; nothing passes through the driver."""
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
