@@ -214,11 +214,22 @@ def close_finished(log: DataFrame, outcomes: DataFrame, horizons: int = 3) -> Da
     return j.withColumn("status", F.when(F.col("_n") >= horizons, "CLOSED").otherwise("OPEN")).drop("_n")
 
 
-def model_health(df: DataFrame, days: int = 135, by: Sequence[str] = ("symbol",)) -> DataFrame:
+def outcome_hit_rate(outcomes: DataFrame, ends: DataFrame, days: int = 60, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(by, hit_rate): share of tracked outcomes with a gain, of the signals of the last `days` days before `_end`."""
+    j = outcomes.select(*by, "date", "return_pct").join(ends.select(*by, "_end"), list(by))
+    recent = j.filter(F.col("date") >= F.date_sub("_end", days))
+    return recent.groupBy(*by).agg(F.avg((F.col("return_pct") > 0).cast("double")).alias("hit_rate"))
+
+
+def model_health(df: DataFrame, days: int = 135, by: Sequence[str] = ("symbol",), outcomes: DataFrame | None = None) -> DataFrame:
     """Recent Sharpe, drawdowns and hit rate -> status and alert list.
 
-    `df` holds symbol, date, close, score and hit_rate; the window is the last `days` calendar days.
+    `df` holds symbol, date, close and score; the window is the last `days` calendar days. The hit rate is that of the
+    tracked `outcomes` (missing where there are none), or without them the newest of the column hit_rate.
     """
+    if outcomes is not None:
+        ends = df.groupBy(*by).agg(F.max("date").alias("_end"))
+        df = df.drop("hit_rate").join(outcome_hit_rate(outcomes, ends, by=by), list(by), "left")
     d = df.withColumn("_end", F.max("date").over(whole(by)))
     d = d.filter(F.col("date") >= F.date_sub("_end", days))
     r = strategy_returns(d, by=by)
@@ -252,6 +263,28 @@ def model_health(df: DataFrame, days: int = 135, by: Sequence[str] = ("symbol",)
         *by, "sharpe", "max_dd", "current_dd", "hit_rate", "status", "alerts")
 
 
+def portfolio_health(df: DataFrame, days: int = 135, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """One row: Sharpe, drawdowns and status of the equal-weight mean of all strategies.
+
+    Days on which every symbol has a strategy return count; the window is the last `days` days of each symbol.
+    """
+    d = df.withColumn("_end", F.max("date").over(whole(by))).filter(F.col("date") >= F.date_sub("_end", days))
+    r = strategy_returns(d, by=by).select(*by, "date", "strat_ret")
+    n = r.select(*by).distinct().agg(F.count("*").alias("_all"))
+    daily = r.groupBy("date").agg(F.avg("strat_ret").alias("strat_ret"), F.count("strat_ret").alias("_have"))
+    daily = daily.join(n, F.col("_have") == F.col("_all")).select("date", "strat_ret")
+    w = cumulative((), "date")  # one row per date
+    e = daily.withColumn("_e", F.product(1.0 + F.col("strat_ret")).over(w))
+    e = e.withColumn("_dd", (F.col("_e") / F.max("_e").over(w) - 1.0) * 100.0)
+    std = F.stddev_samp("strat_ret")
+    sharpe = F.when(std == 0, 0.0).otherwise(F.avg("strat_ret") / std * YEAR)
+    g = e.agg(F.when(F.count("*") >= 20, F.round(sharpe, 3)).alias("sharpe"), F.round(F.min("_dd"), 2).alias("max_dd"),
+              F.round(F.max_by("_dd", "date"), 2).alias("current_dd"))
+    bad = F.coalesce(F.col("sharpe") < 0.0, F.lit(False)) | F.coalesce(F.col("current_dd") < -25.0, F.lit(False))
+    weak = F.coalesce(F.col("sharpe") < 0.20, F.lit(False)) | F.coalesce(F.col("current_dd") < -15.0, F.lit(False))
+    return g.withColumn("status", F.when(bad, "CRITICAL").when(weak, "WARNING").otherwise("HEALTHY"))
+
+
 # ------------------------------------------------------------------------- re-aimed forecasts
 
 

@@ -22,7 +22,7 @@ Rules = Mapping[str, Sequence[str]]
 
 
 def _sum(parts: Sequence[Column]) -> Column:
-    out = parts[0]
+    out = parts[0] if parts else F.lit(0)
     for p in parts[1:]:
         out = out + p
     return out

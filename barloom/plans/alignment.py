@@ -106,7 +106,7 @@ def full_outer_on_date(spark, sf):
 def backward_asof(spark, sf):
     t = V.ticks(spark, sf)
     big = t.filter("price > 50").select("symbol", "ts", F.col("price").alias("last_big"))
-    out = A.asof_join(t, big, ["last_big"], on="ts", bucket=lambda x: x.cast("date"))
+    out = A.asof_join(t, big, ["last_big"], on="ts", bucket=lambda x: F.date_trunc("minute", x))
     return out.select("symbol", "id", "price", "last_big")
 
 
@@ -115,7 +115,7 @@ def backward_asof(spark, sf):
 def forward_asof(spark, sf):
     t = V.ticks(spark, sf)
     big = t.filter("price > 50").select("symbol", "ts", F.col("price").alias("next_big"))
-    out = A.asof_join(t, big, ["next_big"], on="ts", direction="forward", bucket=lambda x: x.cast("date"))
+    out = A.asof_join(t, big, ["next_big"], on="ts", direction="forward", bucket=lambda x: F.date_trunc("minute", x))
     return out.select("symbol", "id", "next_big")
 
 

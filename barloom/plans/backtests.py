@@ -263,6 +263,28 @@ def model_health(spark, sf):
     return h.withColumn("alerts", F.array_join("alerts", ", "))
 
 
+HEALTH = f"""{hit_sql('mom')}, m1 AS (SELECT * FROM mom JOIN hr USING (symbol, date)), m2 AS (SELECT * FROM m1 QUALIFY date >= max(date) OVER (PARTITION BY symbol) - 135),
+  {strat_sql('m2', 'symbol', 'hs')}"""
+
+
+@query("bt_15_health_from_outcomes", f"""{S0}, {DEC}, {OUTC}, {HEALTH}, oh AS (SELECT oc.symbol, avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM oc JOIN (SELECT symbol, max(date) AS me FROM m1 GROUP BY 1) z ON z.symbol = oc.symbol WHERE oc.date >= me - 60 GROUP BY 1),
+  e AS (SELECT *, 100.0 * exp(sum(ln(1 + coalesce(strat_ret, 0))) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) AS e FROM hs),
+  d AS (SELECT *, (e / max(e) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1) * 100 AS dd FROM e),
+  g AS (SELECT symbol, CASE WHEN count(*) >= 20 THEN round(CASE WHEN stddev_samp(strat_ret) = 0 THEN 0 ELSE avg(strat_ret) / stddev_samp(strat_ret) * sqrt(252) END, 3) END AS sharpe, round(arg_max(dd, date), 2) AS current_dd FROM d GROUP BY 1)
+  SELECT g.symbol, round(CAST(hit * 100 AS DOUBLE), 1) AS hit_rate, CASE WHEN sharpe < 0 OR round(CAST(hit * 100 AS DOUBLE), 1) < 35 OR current_dd < -25 THEN 'CRITICAL' WHEN sharpe < 0.2 OR round(CAST(hit * 100 AS DOUBLE), 1) < 45 OR current_dd < -15 THEN 'WARNING' ELSE 'HEALTHY' END AS status
+  FROM g LEFT JOIN oh ON g.symbol = oh.symbol""")
+def health_from_outcomes(spark, sf):
+    return B.model_health(scores(spark, sf), outcomes=_outcomes(spark, sf)[1]).select("symbol", "hit_rate", "status")
+
+
+@query("bt_15_portfolio_health", f"""{S0}, {HEALTH}, dl AS (SELECT date, avg(strat_ret) AS r FROM hs GROUP BY 1 HAVING count(strat_ret) = (SELECT count(DISTINCT symbol) FROM hs)),
+  e AS (SELECT *, exp(sum(ln(1 + r)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS e FROM dl), d AS (SELECT *, (e / max(e) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1) * 100 AS dd FROM e),
+  g AS (SELECT CASE WHEN count(*) >= 20 THEN round(CASE WHEN stddev_samp(r) = 0 THEN 0 ELSE avg(r) / stddev_samp(r) * sqrt(252) END, 3) END AS sharpe, round(min(dd), 2) AS max_dd, round(arg_max(dd, date), 2) AS current_dd FROM d)
+  SELECT *, CASE WHEN sharpe < 0 OR current_dd < -25 THEN 'CRITICAL' WHEN sharpe < 0.2 OR current_dd < -15 THEN 'WARNING' ELSE 'HEALTHY' END AS status FROM g""")
+def portfolio_health(spark, sf):
+    return B.portfolio_health(scores(spark, sf))
+
+
 AR = f"""pr AS (SELECT symbol, date, close, close / lag(close) {O} - 1 AS ret FROM px), pl AS (SELECT *, lag(ret) {O} AS x FROM pr),
   ar AS (SELECT *, CASE WHEN count(x) {{w}} >= {{n}} THEN regr_slope(ret, x) {{w}} END AS b, CASE WHEN count(x) {{w}} >= {{n}} THEN regr_intercept(ret, x) {{w}} END AS a FROM pl)"""
 

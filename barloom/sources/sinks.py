@@ -34,9 +34,10 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataF
     return first_per_key(both, keys, [F.col("_new").desc()]).drop("_new")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def has_partitions(spark: SparkSession, path: str, partition: str) -> bool:
+    """Whether a dataset partitioned by `partition` is stored there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition}=*")
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:

@@ -132,7 +132,7 @@ def stream_upsert(stream: DataFrame, path: str, keys: Sequence[str], order: Sequ
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = first_per_key(batch, keys, order)
-        if sinks.path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        if sinks.has_partitions(spark, path, partition):
             sinks.upsert_path(spark, path, rows, keys, partition, order)
         else:  # first batch
             sinks.write_run_date(rows, path, partition)
