@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from barloom.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLE = all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +43,7 @@ def same(a, b):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
