@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.session import stored, work_dir
+from barloom.session import work_dir
 
-__all__ = ["buffers", "read", "stored", "work_dir", "slices"]
+__all__ = ["buffers", "discard", "read", "stored", "work_dir", "slices"]
 
 
 def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -18,6 +19,29 @@ def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's rows to the shared folder and read them back.
+
+    Spark removes the shuffle files of a finished step only once the driver's garbage is collected, which a driver with
+    little to do puts off; asking for it here keeps the disk needed to that of the steps at work.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stored_at = path
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete stored steps that nothing still to be computed reads; frames that are not stored ones are passed over."""
+    for df in steps:
+        if path := getattr(df, "stored_at", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts on end, offsets of each text) of a string or binary array; null counts as empty."""
     if texts.null_count:

@@ -17,7 +17,7 @@ Texts are read whole; long ones are taken in overlapping pieces, so memory per t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import read, slices, stored
+from barloom.llm.common import discard, read, slices, stored
 from barloom.llm.suffixes import suffix_ranks
 
-_COARSE, _FINE, _SHORT = 64, 32, 96  # bytes of the grams, grams in a short window
-_REACH = _SHORT - 13  # bytes after the first border whose phrases equal windows share; see _phrases
+_COARSE, _FINE, _SHORT = 64, 16, 108  # bytes of the grams, grams in a short window
+_REACH = 400 - _FINE - 3 * _SHORT + 2  # bytes after the first border whose phrases equal windows share; see _phrases
+_CELL = 9  # windows compared as one inside a block
+_SYMBOLS = 9  # most symbols of a prefix: the order of suffixes is needed to this depth only
 _IDX = 20  # low bits of a packed gram hold its place in the piece
 _PIECE = (1 << _IDX) - 4096
 _TYPES = {"int64": T.LongType(), "string": T.StringType(), "binary": T.BinaryType()}
@@ -94,8 +96,8 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _candidates(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, th, runs): windows (first, last) of each text whose smallest gram stands elsewhere too."""
+def _candidates(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The stored runs of all windows, and (doc_id, th, runs): windows (first, last) of each text whose smallest gram stands elsewhere too."""
     schema = "doc_id long, th long, v long, first int, last int, n int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,16 +118,17 @@ def _candidates(docs: DataFrame, width: int) -> DataFrame:
     rows = stored(docs.mapInArrow(run, schema), "windows")
     again = rows.groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1").select("v")
     kept = rows.join(again, "v", "left_semi")
-    return kept.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # bounded by the text
+    return rows, kept.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # bounded by the text
 
 
-def _phrases(region: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int], int] | None:
+def _phrases(region: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]:
     """Borders, served windows and symbols of one region.
 
-    (border, fewest and most bytes a served window starts before it (-1: it serves none), symbols, prefix digests, most
-    symbols in a prefix). A window starting at p is served by the border of the short window at p, at most _SHORT - 1
-    bytes on. Borders up to p + width - (_SHORT + _FINE - 1) depend on the window's bytes alone; with a border a served
-    at p >= a - _SHORT + 1 the phrases up to the first border at a + _REACH or later are among them for width 400.
+    (border, fewest and most bytes a served window starts before it (-1: it serves none), symbols, prefix digests). A
+    window starting at p is served by the border of the short window at p, at most _SHORT - 1 bytes on. Borders up to
+    p + width - (_SHORT + _FINE - 1) depend on the window's bytes alone. A border a that serves p stands before
+    p + _SHORT, and borders stand at most _SHORT apart: the first border at a + _REACH or later is among them for
+    width 400. The phrases up to it, _SYMBOLS at most, are the prefix that suffixes of equal windows share.
     """
     borders_l: list[np.ndarray] = []
     serving: list[np.ndarray] = []
@@ -146,15 +149,14 @@ def _phrases(region: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     digest = xxhash.xxh3_64_intdigest
     cut = border.tolist()
     symbols = [digest(region[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    stop = np.searchsorted(border, border + _REACH)
+    stop = np.minimum(np.searchsorted(border, border + _REACH), np.arange(len(border)) + _SYMBOLS)
     keep = (most >= 0) & (stop < len(border))  # always so for borders that serve a window
     prefix = [digest(region[a : cut[s]]) if k else 0 for a, s, k in zip(cut, stop.tolist(), keep.tolist(), strict=True)]
-    longest = int((stop - np.arange(len(border)))[keep].max(initial=1))
     fewest[~keep], most[~keep] = -1, -1
-    return border, fewest, most, symbols, prefix, longest
+    return border, fewest, most, symbols, prefix
 
 
-_REGION = "sid long, doc_id long, th long, start int, body binary, border array<int>, fewest array<int>, most array<int>, s array<long>, prefix array<long>, longest int"
+_REGION = "sid long, doc_id long, th long, start int, body binary, border array<int>, fewest array<int>, most array<int>, s array<long>, prefix array<long>, digest binary"
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -166,15 +168,15 @@ def _regions(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sid = TaskContext.get().partitionId() << 32
         names = [c.split()[0] for c in _REGION.split(", ")]
-        schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int32())] * 3, *[pa.list_(pa.int64())] * 2, pa.int32()), strict=True)))
+        schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int32())] * 3, *[pa.list_(pa.int64())] * 2, pa.binary()), strict=True)))
         for batch in batches:
             for part in slices(batch, "body", 2 << 20):
                 rows = []
                 for doc_id, th, body, runs in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "body", "runs")), strict=True):
                     for first, stop in _joined([(r["first"], r["last"] + 1) for r in runs]):
                         region = body[first : stop - 1 + width]
-                        border, fewest, most, symbols, prefix, longest = _phrases(region, width)
-                        rows.append((sid, doc_id, th, first, region, border, fewest, most, _signed(symbols), _signed(prefix), longest))
+                        border, fewest, most, symbols, prefix = _phrases(region, width)
+                        rows.append((sid, doc_id, th, first, region, border, fewest, most, _signed(symbols), _signed(prefix), xxhash.xxh3_128_digest(region)))
                         sid += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -183,6 +185,11 @@ def _regions(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
     return stored(both.select("doc_id", "th", "body", "runs").mapInArrow(run, _REGION), "regions")
 
 
+def _kinds(regions: DataFrame) -> DataFrame:
+    """(sid, times): one region of each kind, and how many there are of it."""
+    return stored(regions.groupBy("digest").agg(F.min("sid").alias("sid"), F.count("*").alias("times")), "kinds")
+
+
 def _adjacent(regions: DataFrame, ranks: DataFrame) -> DataFrame:
     """(sid, borders): the serving borders whose suffix shares its prefix with an adjacent suffix."""
     place = lambda names: F.posexplode(F.arrays_zip(*names)).alias("at", "x")
@@ -212,83 +219,137 @@ def _adjacent(regions: DataFrame, ranks: DataFrame) -> DataFrame:
                 [held.column("sid"), held.column("at"), held.column("prefix"), pa.array([part], pa.int64()), pa.array([place], pa.int64()), pa.array([bool(before == held.column("prefix")[0].as_py())])],
                 [c.split()[0] for c in schema.split(", ")])
 
-    rows = stored(rows, "order").repartitionByRange("rank", "sid", "at").sortWithinPartitions("rank", "sid", "at")
+    order = stored(rows, "order")
+    rows = order.repartitionByRange("rank", "sid", "at").sortWithinPartitions("rank", "sid", "at")
     rows = stored(rows.mapInArrow(run, schema), "adjacent")
+    discard(order)
     # neighbours across parts: one row per part
     ends = rows.groupBy("part").agg(F.min_by("prefix", "place").alias("first"), F.max_by("prefix", "place").alias("last"), F.max("place").alias("top"))
-    order = Window.orderBy("part")
-    ends = ends.select("part", "top", (F.col("first") == F.lag("last").over(order)).alias("up"), (F.col("last") == F.lead("first").over(order)).alias("down"))
-    rows = rows.join(F.broadcast(ends), "part")
+    parts = Window.orderBy("part")
+    ends = ends.select("part", "top", (F.col("first") == F.lag("last").over(parts)).alias("up"), (F.col("last") == F.lead("first").over(parts)).alias("down"))
+    both = rows.join(F.broadcast(ends), "part")
     like = F.col("like") | ((F.col("place") == 0) & F.coalesce("up", F.lit(False))) | ((F.col("place") == F.col("top")) & F.coalesce("down", F.lit(False)))
-    return rows.filter(like).groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("found"))
+    found = stored(both.filter(like).groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("found")), "found")
+    discard(rows)
+    return found
 
 
 def _blocks(regions: DataFrame, adjacent: DataFrame, width: int) -> DataFrame:
-    """The block of windows that each border found serves, by its first and last window, with a digest of its bytes."""
-    schema = "doc_id long, th long, start int, stop int, prefix long, digest binary"
+    """The block of windows that each border found serves, fewest to most bytes before it, with a digest of its bytes and one
+    of its core, the bytes after the border that every window it can serve covers."""
+    schema = "doc_id long, th long, border int, fewest int, most int, core long, digest binary, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             for part in slices(batch, "body", 4 << 20):
                 rows: list[tuple] = []
-                columns = ("doc_id", "th", "start", "body", "border", "fewest", "most", "prefix", "found")
-                for doc_id, th, start, body, border, fewest, most, prefix, found in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                columns = ("doc_id", "th", "start", "body", "border", "fewest", "most", "found", "times")
+                for doc_id, th, start, body, border, fewest, most, found, times in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
                     for i in found:
                         a, z = border[i] - most[i], border[i] - fewest[i]
                         block = digest(body[a : z + width] + b"%d %d" % (fewest[i], most[i]))
-                        rows.append((doc_id, th, start + a, start + z, prefix[i], block))
+                        core = xxhash.xxh3_64_intdigest(body[border[i] : border[i] + width - _SHORT + 1]) - (1 << 63)
+                        rows.append((doc_id, th, start + border[i], fewest[i], most[i], core, block, times))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
-                    ["doc_id", "th", "start", "stop", "prefix", "digest"])
+                    [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, (pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.binary(), pa.int64()), strict=True)],
+                    ["doc_id", "th", "border", "fewest", "most", "core", "digest", "times"])
+
+    return regions.join(adjacent, "sid").select("doc_id", "th", "start", "body", "border", "fewest", "most", "found", "times").mapInArrow(run, schema)
+
 
-    return regions.join(adjacent, "sid").select("doc_id", "th", "start", "body", "border", "fewest", "most", "prefix", "found").mapInArrow(run, schema)
+def _contested(items: DataFrame) -> DataFrame:
+    """Of items (core, digest, n, x): the kinds (digest, n, x) of every core that has a lone item and another kind."""
+    kinds = items.groupBy("core", "digest").agg(F.sum("n").alias("n"), F.min("x").alias("x"))
+    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("core")
+    return kinds.join(cores, "core", "left_semi").select("digest", "n", "x.*")
 
 
-def _alone(regions: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
-    """(digest, first, last): repeated windows inside blocks that stand alone, as runs relative to the block's start.
+def _in_texts(regions: DataFrame, picked: DataFrame, width: int, near: str, far: str, schema: str, made: Callable[[bytes, dict], Iterator[tuple]]) -> DataFrame:
+    """Rows made of the bytes of each picked item; `made` gets the region and the item, with places inside the region.
 
-    A block that stands alone is compared window by window with one block for each other digest of its prefix.
+    near, far: fields with the item's least and greatest distance back. Regions can overlap in bytes, but just one holds
+    all windows of an item.
     """
-    kinds = blocks.groupBy("prefix", "digest").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "th", "start", "stop"), F.struct("doc_id", "th", "start")).alias("x"))
-    groups = kinds.groupBy("prefix").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("prefix")
-    picked = kinds.join(groups, "prefix", "left_semi").select("digest", "n", "x.*")
-    by_text = picked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("digest", "n", "start", "stop")).alias("picked"))
-    by_text = by_text.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "picked")
+    fields = [c for c in picked.columns if c not in ("doc_id", "th")]
+    by_text = picked.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct(*fields)).alias("picked"))
     texts = regions.select("doc_id", "th", F.col("start").alias("from"), "body").join(by_text, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    inside = F.filter("picked", lambda x: (x["start"] >= F.col("from")) & (x["stop"] + width <= F.col("from") + F.length("body")))
+    inside = F.filter("picked", lambda x: (x["border"] - x[far] >= F.col("from")) & (x["border"] - x[near] + width <= F.col("from") + F.length("body")))
     texts = texts.select("from", "body", inside.alias("picked")).filter(F.size("picked") > 0)
-    schema = "digest binary, at int, n long, window binary"
+    kinds = {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}
+    out = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = xxhash.xxh3_128_digest
         for batch in batches:
             for part in slices(batch, "body", 1 << 20):
                 rows = [
-                    (x["digest"], p - x["start"], x["n"], sha(body[p - start : p - start + width]))
+                    row
                     for start, body, picked in zip(*(part.column(c).to_pylist() for c in ("from", "body", "picked")), strict=True)
-                    for x in picked for p in range(x["start"], x["stop"] + 1)
+                    for x in picked for row in made(body, x | {"border": x["border"] - start})
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["digest", "at", "n", "window"])
+                columns = zip(*rows, strict=True) if rows else [()] * len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    windows = stored(texts.mapInArrow(run, schema), "window")
-    again = windows.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window")
-    hit = windows.filter("n = 1").join(again, "window", "left_semi").select("digest", "at")
-    return hit.groupBy("digest").agg(F.array_sort(F.collect_set("at")).alias("hits"))  # up to the windows of a block
+    return texts.mapInArrow(run, schema)
+
+
+def _alone(regions: DataFrame, blocks: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two stored steps, and (digest, hits): repeated windows inside blocks that stand alone, as distances back from the block's border.
+
+    The windows of a block are known by their distance from the border, which equal windows share. A block that stands
+    alone is compared with one block for each other digest of its core: first in cells of _CELL windows, each with a core
+    of its own, then, in cells that stand alone with others of their core, window by window.
+    """
+    sha = xxhash.xxh3_128_digest
+
+    def cells(body: bytes, x: dict) -> Iterator[tuple]:
+        a = x["border"]
+        for k in range(x["fewest"] // _CELL, x["most"] // _CELL + 1):
+            lo, hi = max(x["fewest"], k * _CELL), min(x["most"], k * _CELL + _CELL - 1)
+            core = sha(body[max(0, a - k * _CELL) : a - k * _CELL - _CELL + 1 + width] + b"%d" % k)
+            yield x["digest"], x["n"], lo, hi, core, sha(body[a - hi : a - lo + width] + b"%d %d" % (lo, hi)), x["at_doc"], x["at_th"], x["at_border"]
+
+    def windows(body: bytes, x: dict) -> Iterator[tuple]:
+        for back in range(x["lo"], x["hi"] + 1):
+            yield x["digest"], back, x["n"], sha(body[x["border"] - back : x["border"] - back + width])
+
+    items = blocks.select("core", "digest", F.col("times").alias("n"), F.struct("doc_id", "th", "border", "fewest", "most").alias("x"))
+    picked = _contested(items).withColumns({"at_doc": F.col("doc_id"), "at_th": F.col("th"), "at_border": F.col("border")})
+    made = stored(_in_texts(regions, picked, width, "fewest", "most", "block binary, n long, lo int, hi int, core binary, digest binary, doc_id long, th long, border int", cells), "cells")
+    rows = made.select("core", "digest", "n", F.struct("doc_id", "th", "border", "lo", "hi").alias("x"))
+    seen = stored(_in_texts(regions, _contested(rows), width, "lo", "hi", "digest binary, back int, n long, window binary", windows), "window")
+    again = seen.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window")
+    single = seen.filter("n = 1").join(again, "window", "left_semi").select("digest", F.array("back").alias("backs"))
+    whole = made.groupBy("digest").agg(F.sum("n").alias("total")).filter("total > 1").select("digest")
+    lone = made.filter("n = 1").select("block", "digest", "lo", "hi")
+    found = lone.join(whole, "digest", "left_semi").select("block", F.sequence("lo", "hi").alias("backs"))
+    found = found.union(lone.join(single, "digest").select("block", "backs"))
+    return made, seen, found.groupBy(F.col("block").alias("digest")).agg(F.array_distinct(F.flatten(F.collect_list("backs"))).alias("hits"))  # up to the windows of a block
 
 
 def _spans(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, th, spans): repeated spans [start, stop) of each text that has some; they may overlap."""
-    candidates = _candidates(docs, width)
+    windows, candidates = _candidates(docs, width)
     regions = _regions(docs, candidates, width)
-    longest = regions.agg(F.max("longest")).first()[0] or 1
-    ranks = suffix_ranks(regions.select("sid", "s"), longest)
-    blocks = stored(_blocks(regions, _adjacent(regions, ranks), width), "blocks")
-    many = blocks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    whole = blocks.join(many, "digest", "left_semi").select("doc_id", "th", "start", (F.col("stop") + width).alias("stop"))
-    alone = blocks.join(_alone(regions, blocks, width), "digest").select("doc_id", "th", F.col("start").alias("_s"), F.explode("hits").alias("at"))
-    alone = alone.select("doc_id", "th", (F.col("_s") + F.col("at")).alias("start"), (F.col("_s") + F.col("at") + width).alias("stop"))
-    return whole.union(alone).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    discard(windows)
+    kinds = _kinds(regions)
+    # equal regions are repeated as a whole; one of each kind is compared with the others
+    copies = regions.join(kinds.filter("times > 1").select("digest"), "digest").select("doc_id", "th", "start", (F.col("start") + F.length("body")).alias("stop"))
+    one = kinds.select("sid", "times")
+    ranks = suffix_ranks(regions.select("sid", "s").join(one.select("sid"), "sid", "left_semi"), _SYMBOLS)
+    adjacent = _adjacent(regions, ranks)
+    discard(ranks)
+    blocks = stored(_blocks(regions, adjacent.join(one, "sid"), width), "blocks")
+    discard(adjacent)
+    many = blocks.groupBy("digest").agg(F.sum("times").alias("n")).filter("n > 1").select("digest")
+    rest = blocks.filter("times = 1")
+    whole = rest.join(many, "digest", "left_semi").select("doc_id", "th", (F.col("border") - F.col("most")).alias("start"), (F.col("border") - F.col("fewest") + width).alias("stop"))
+    cells, seen, hits = _alone(regions, blocks, width)
+    alone = rest.join(hits, "digest").select("doc_id", "th", "border", F.explode("hits").alias("back"))
+    alone = alone.select("doc_id", "th", (F.col("border") - F.col("back")).alias("start"), (F.col("border") - F.col("back") + width).alias("stop"))
+    spans = stored(copies.union(whole).union(alone).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    discard(regions, kinds, blocks, cells, seen)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import discard, stored
 
 PAD = -(1 << 63)  # behind the end of a string
 _PART = 36
@@ -198,12 +198,22 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     found = triples.join(names, ["t0", "t1", "t2"])
     sub = _lists(found.select((F.col("sid") * 2 + F.col("i") % 3 - 1).alias("sid"), "i", "name"), "sid", "i", "name", "s")
     if n and distinct < n and depth > 3:
-        ranks = suffix_ranks(stored(sub, "strings"), -(-depth // 3))
+        sub = stored(sub, "strings")
+        discard(triples, names)
+        ranks = suffix_ranks(sub, -(-depth // 3))
+        discard(sub)
     else:
         ranks = sub.withColumnRenamed("s", "ranks")
     sample = ranks.groupBy(F.floor(F.col("sid") / 2).cast("long").alias("_sid")).agg(
         F.max(F.when(F.col("sid") % 2 == 0, F.col("ranks"))).alias("r1"), F.max(F.when(F.col("sid") % 2 == 1, F.col("ranks"))).alias("r2"))
     both = strings.join(sample, F.col("sid") == F.col("_sid"), "left").select("sid", "s", "r1", "r2")
     keys = stored(_merge_keys(both), "keys")
-    ranked = keys.join(_merged(keys), list(_KEY)).select("sid", "i", "rank")
-    return stored(_lists(ranked, "sid", "i", "rank", "ranks"), "ranks")
+    if hasattr(ranks, "stored_at"):
+        discard(ranks)
+    else:
+        discard(triples, names)
+    merged = _merged(keys)
+    ranked = keys.join(merged, list(_KEY)).select("sid", "i", "rank")
+    out = stored(_lists(ranked, "sid", "i", "rank", "ranks"), "ranks")
+    discard(keys, merged)
+    return out
