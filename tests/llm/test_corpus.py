@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import editcount, mixing, packing, quality, repeats, simhash, tokenbin, tokens, topk, toxicity, warc
+from barloom.llm import editcount, mixing, packing, quality, repeats, similar, simhash, tokenbin, tokens, topk, toxicity, warc
 from barloom.llm.components import components
 from barloom.llm.suffixes import suffix_ranks
 from barloom.session import work_dir
@@ -372,6 +372,54 @@ def test_links_of_dense_lists(spark):
     assert len(a) == 5999 and len(same) + len(key) > 0
 
 
+def near_copies():
+    """Texts of 120 words with copies at every similarity from 0.6 to 1, chains, a large group, and one common passage."""
+    r, out = random.Random(11), [None, "", "one two", "one two"]
+    for i in range(30):
+        base = words(120, 500 + i, 10**6).split()
+        out.append(" ".join(base))
+        for k in range(1, 5):
+            copy = list(base)
+            for j in r.sample(range(120), k):
+                copy[j] = f"new{i}_{k}_{j}"
+            out.append(" ".join(copy))
+    hub = words(150, 900, 10**6).split()
+    out += [" ".join(hub[:k] + [f"x{k}"] + hub[k + 1 :]) for k in range(0, 150, 2)]
+    passage = words(60, 901, 10**6)
+    return out + [passage + " " + words(30 + i, 950 + i, 10**6) for i in range(60)]
+
+
+def test_similar_groups(spark):
+    texts = near_copies()
+    sets = [set(similar.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    low = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if low[i] != low[j] and (100 * len(a & b) >= 80 * len(a | b)):
+                old, new = max(low[i], low[j]), min(low[i], low[j])
+                low = [new if x == old else x for x in low]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(5)
+    got = collections.defaultdict(set)
+    for x in similar.similar_groups(df).collect():
+        got[x.group].add(x.key)
+    want = collections.defaultdict(set)
+    for i, x in enumerate(low):
+        want[x].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert similar.similar_groups(df.filter("false")).count() == 0
+
+
+def test_stage_drops_copies_of_low_similarity(spark):
+    import corpus_pipeline as p
+
+    base = words(120, 77, 10**6).split()
+    copy = list(base)
+    copy[30] = copy[60] = "other"  # 106 of 126 shingles: similarity 0.84
+    docs = table(spark, [" ".join(base), " ".join(copy), words(120, 78, 10**6)])
+    assert sorted(r.doc_id for r in p.keep_distinct(spark, docs, SF).collect()) == [0, 2]
+
+
 # 9
 def test_mixing(spark):
     rows = [(i, "abcdef"[min(i % 13 // 2, 5)] if i % 13 else None, f"t{i}", 1) for i in range(2600)]
