@@ -6,8 +6,9 @@ that is too short for a histogram to mean anything passes that comparison (minim
 
 Common words are the words with at least `word_share` of a language's words. A first pass counts per piece of input and
 passes on the words above `word_share / 5` of the piece, so no total is short by more than that share and no common word
-is missed; a second pass counts the candidates exactly. Both the words per language and the languages with a reference of
-their own (those with `lang_share` of all rows) are bounded by these shares, whatever the size of the corpus.
+is missed; a second pass counts the candidates exactly. Every language has a reference of its own, rows without a language
+have one together. The words per language are bounded by `word_share`; references of the languages with `lang_share` of all
+rows (a bounded number) are held by every task, those of all others stay a table that is joined on the language.
 """
 
 from __future__ import annotations
@@ -64,16 +65,16 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def _own_languages(docs: DataFrame, lang_share: float) -> list[str]:
-    """Languages with a reference of their own: at most 1 / lang_share."""
+def _held_languages(docs: DataFrame, lang_share: float) -> tuple[list[str], bool]:
+    """Languages whose references are held by every task: at most 1 / lang_share; and whether there are others."""
     least = lang_share * docs.count()
-    own = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least)
-    return sorted(row.lang for row in own.collect())
+    sizes = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("rows"))
+    held = sorted(row.lang for row in sizes.filter(F.col("rows") >= least).collect())
+    return held, sizes.count() > len(held)
 
 
-def _common_words(docs: DataFrame, own: list[str], word_share: float) -> dict[str | None, list[bytes]]:
-    """language (None: the others) -> candidate words in order, at most 5 / (4 word_share) each."""
-    known = set(own)
+def _common_words(docs: DataFrame, word_share: float) -> DataFrame:
+    """(lang, words): candidate words of every language in order, at most 5 / (4 word_share) each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +82,7 @@ def _common_words(docs: DataFrame, own: list[str], word_share: float) -> dict[st
                 counts: dict[str | None, Counter] = defaultdict(Counter)
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if text:
-                        counts[lang if lang in known else None].update(text.lower().split())
+                        counts[lang].update(text.lower().split())
                 rows: list[tuple] = []
                 for lang, count in counts.items():
                     total = count.total()
@@ -94,10 +95,18 @@ def _common_words(docs: DataFrame, own: list[str], word_share: float) -> dict[st
     counted = docs.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     of = F.max(F.when(F.col("word").isNull(), F.col("n"))).over(Window.partitionBy("lang"))
     words = counted.withColumn("of", of).filter((F.col("n") >= 0.8 * word_share * F.col("of")) & F.col("word").isNotNull())
-    out: dict[str | None, list[bytes]] = {lang: [] for lang in (None, *own)}
-    for row in words.sort("lang", "word").collect():
-        out[row.lang].append(bytes(row.word))
-    return out
+    return words.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("words"))
+
+
+def _joined(docs: DataFrame, table: DataFrame, held: list[str], others: bool, lang: str = "lang") -> DataFrame:
+    """docs with the columns of a table of languages: joined where tasks do not hold the language, else null."""
+    known = F.col(lang).isNull() | F.col(lang).isin(held)
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != "lang"]
+    out = docs.filter(known).select("*", *more)
+    if not others:
+        return out
+    table = table.withColumnRenamed("lang", "_lang").filter("_lang IS NOT NULL")
+    return out.union(docs.filter(~known).join(table, F.col(lang) == F.col("_lang"), "left").drop("_lang").select(*out.columns))
 
 
 NAMES = ("doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
@@ -105,18 +114,18 @@ _COUNTS = NAMES[2:7]
 
 
 def _measure(part: pa.RecordBatch, words: dict[str | None, list[bytes]]) -> tuple[list[str | None], list[list]]:
-    """Reference used, and the base counts and both histograms (in the order of NAMES) of the rows of a batch."""
+    """Language, and the base counts and both histograms (in the order of NAMES) of the rows of a batch. words: those of the
+    held languages; the rows of others bring theirs."""
     rows: list[list] = [[] for _ in NAMES[2:]]
     key = []
-    for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+    for lang, text, own in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), part.column("words"), strict=True):
         text = text or b""
         split = text.split()
         hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
         lines = [x for x in text.split(b"\n") if x.strip()]
         count = Counter(text.lower().split())
-        lang = lang if lang in words else None
         key.append(lang)
-        common = [count[w] for w in words[lang]]
+        common = [count[w] for w in (words[lang] if lang in words else own.as_py() or [])]
         hist[_INNER] = 0
         classes = np.bincount(_CLASS, weights=hist, minlength=len(CLASSES)).astype(np.int64)
         for to, value in zip(rows, (
@@ -160,14 +169,15 @@ class Rules:
     """Thresholds and references that judge a text; the parameters are those of `quality`."""
 
     words: dict
-    refs: dict
+    refs: dict  # of the held languages
     most_class: float
     most_word: float
     least_chars: int
     least_words: int
 
-    def judge(self, key: list[str | None], rows: list[list]) -> tuple[np.ndarray, ...]:
-        """(base_failed, class distance, word distance, kept) of measured rows; nan: too short to compare."""
+    def judge(self, key: list[str | None], rows: list[list], batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """(base_failed, class distance, word distance, kept) of measured rows; nan: too short to compare. batch: has the
+        references ref_classes and ref_common of the rows whose language is not a held one."""
         n_words, word_chars, _, _, n_repeat = (np.array(r, np.int64) for r in rows[:5])
         groups: dict[str | None, list[int]] = defaultdict(list)
         for i, ref in enumerate(key):
@@ -175,21 +185,20 @@ class Rules:
         found = {"classes": np.zeros(len(key)), "common": np.zeros(len(key))}
         for (kind, to), values in zip(found.items(), rows[5:], strict=True):
             for ref, at in groups.items():
-                to[at] = js_distance(np.array([values[i] for i in at], np.float64), np.array(self.refs[ref, kind], np.float64))
+                q = self.refs[ref, kind] if (ref, kind) in self.refs else batch.column(f"ref_{kind}")[at[0]].as_py()
+                to[at] = js_distance(np.array([values[i] for i in at], np.float64), np.array(q, np.float64))
         by_class = np.where(word_chars >= self.least_chars, found["classes"], np.nan)
         by_word = np.where(n_words >= self.least_words, found["common"], np.nan)
         base = (n_words < 20) | (100 * n_repeat > 30 * n_words)
         return base, by_class, by_word, ~base & ~(by_class > self.most_class) & ~(by_word > self.most_word)
 
 
-def _summed(rows: DataFrame) -> dict[tuple[str | None, str], list[int]]:
-    """Histograms of each reference over all its rows: as many numbers as languages times words, both bounded."""
+def _summed(rows: DataFrame) -> DataFrame:
+    """(lang, ref_classes, ref_common): histograms of each language over all its rows."""
     place = lambda name: rows.select("ref", F.lit(name).alias("kind"), F.posexplode(name).alias("at", "n"))
     summed = place("classes").union(place("common")).groupBy("ref", "kind", "at").agg(F.sum("n").alias("n"))
-    refs: dict[tuple[str | None, str], list[int]] = defaultdict(list)
-    for row in summed.sort("ref", "kind", "at").collect():
-        refs[row.ref, row.kind].append(row.n)
-    return dict(refs)
+    of = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "n")))), lambda x: x["n"]).alias(f"ref_{kind}")
+    return summed.groupBy(F.col("ref").alias("lang")).agg(of("classes"), of("common"))
 
 
 def _inputs(docs: DataFrame, doc_id: str, text: str, lang: str, *more: str) -> DataFrame:
@@ -204,42 +213,53 @@ def quality(
 
     kept is false if base_failed (under 20 words, or over 30 % of the words repeat in windows of eight), or the class
     distance is over most_class (texts of least_chars word characters or more), or the word distance is over most_word
-    (texts of least_words words or more). A null or empty text has no words and fails the base rules. Null and rare
-    languages share one reference, summed over all their documents. Repeated rows are judged alike, each on its own; an
-    empty table gives no rows; further columns of `docs` are not read.
+    (texts of least_words words or more). A null or empty text has no words and fails the base rules. Rows without a
+    language share one reference; lang_share sets where references are held, not the result. Repeated rows are judged
+    alike, each on its own; an empty table gives no rows; further columns of `docs` are not read.
     """
-    rows, rules = _fitted(_inputs(docs, doc_id, text, lang), word_share, lang_share, most_class, most_word, least_chars, least_words)
+    docs = _inputs(docs, doc_id, text, lang)
+    held = _held_languages(docs, lang_share)
+    rows, _, refs, rules = _fitted(docs, held, word_share, most_class, most_word, least_chars, least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = rules.judge(batch.column("ref").to_pylist(), [batch.column(c).to_pylist() for c in NAMES[2:]])
+            found = rules.judge(batch.column("ref").to_pylist(), [batch.column(c).to_pylist() for c in NAMES[2:]], batch)
             kept = [batch.column(c) for c in ("doc_id", *_COUNTS)]
             arrays = [pa.array(x, from_pandas=True) for x in found]  # nan becomes null
             yield pa.RecordBatch.from_arrays([*kept, *arrays], ["doc_id", *_COUNTS, "base_failed", "class_distance", "word_distance", "kept"])
 
     counts = ", ".join(f"{c} long" for c in _COUNTS)
-    return rows.mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    return _joined(rows, refs, *held, lang="ref").mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
-def _fitted(docs: DataFrame, word_share: float, lang_share: float, *thresholds: float) -> tuple[DataFrame, Rules]:
-    words = _common_words(docs, _own_languages(docs, lang_share), word_share)
-    rows = stored(_measured(docs, words), "measured")
-    return rows, Rules(words, _summed(rows), *thresholds)
+def _fitted(docs: DataFrame, held: tuple[list[str], bool], word_share: float, *thresholds: float) -> tuple[DataFrame, DataFrame, DataFrame, Rules]:
+    """Measured rows, words and references of all languages as tables, and the rules with those of the held languages."""
+    own = F.col("lang").isNull() | F.col("lang").isin(held[0])
+    table = stored(_common_words(docs, word_share), "words")
+    words: dict[str | None, list[bytes]] = {lang: [] for lang in (None, *held[0])}
+    words |= {row.lang: [bytes(w) for w in row.words] for row in table.filter(own).collect()}
+    rows = stored(_measured(_joined(docs, table, *held), words), "measured")
+    refs = stored(_summed(rows), "refs")
+    found = {(row.lang, kind): row[f"ref_{kind}"] for row in refs.filter(own).collect() for kind in ("classes", "common")}
+    return rows, table, refs, Rules(words, found, *thresholds)
 
 
 def keep_good(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.001, most_class: float = 0.28, most_word: float = 0.25, least_chars: int = 200, least_words: int = 40) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang and any others) that `quality` keeps, without a shuffle of the texts."""
-    _, rules = _fitted(_inputs(docs, "doc_id", "text", "lang"), word_share, lang_share, most_class, most_word, least_chars, least_words)
+    """The rows of `docs` (doc_id, text, lang and any others) that `quality` keeps: texts are shuffled only in languages that tasks do not hold."""
+    inputs = _inputs(docs, "doc_id", "text", "lang")
+    held = _held_languages(inputs, lang_share)
+    _, table, refs, rules = _fitted(inputs, held, word_share, most_class, most_word, least_chars, least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield part.select(["row"]).filter(pa.array(rules.judge(*_measure(part, rules.words))[3]))
+                yield part.select(["row"]).filter(pa.array(rules.judge(*_measure(part, rules.words), part)[3]))
 
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     rows = _inputs(docs.withColumn("_row", row), "doc_id", "text", "lang", "_row").withColumnRenamed("_row", "row")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
-    return rows.select("lang", "text", "row").mapInArrow(run, schema).select("row.*")
+    rows = _joined(rows.select("lang", "text", "row"), refs.join(table, "lang", "left"), *held)
+    return rows.mapInArrow(run, schema).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,20 @@ def test_quality_finds_junk(spark):
     assert all(got[i] for i in range(40)) and not any(got[i] for i in range(40, 43))
 
 
+def test_rare_language_has_its_own_reference(spark):
+    latin = ["the", "of", "and", "in", "to", "is"] * 25
+    good = [" ".join(random.Random(i).sample(latin + words(150, i, 10**6).split(), 200)) for i in range(300)]
+    greek = ["και", "το", "της", "στην", "για", "με"] * 25
+    rare = [" ".join(random.Random(i).sample(greek + [f"λέξη{random.Random(i * 999 + k).randrange(10**6)}" for k in range(100)], 200)) for i in range(6)]
+    junk = [" | ".join(f"z{random.Random(i * 99 + k).randrange(10**6)}###" for k in range(100)) for i in range(1)]
+    langs = ["en"] * 290 + [None] * 10 + ["el"] * 7
+    docs = table(spark, good + rare + junk, langs=langs)
+    for share in (0.001, 0.05):  # "el" held by the tasks, and as a table
+        got = {r.doc_id: r.kept for r in quality.quality(docs, lang_share=share).collect()}
+        assert all(got[i] for i in range(306)) and not got[306]
+        assert sorted(r.doc_id for r in quality.keep_good(docs, lang_share=share).collect()) == list(range(306))
+
+
 # 3
 def brute_removed(bodies, width):
     seen = collections.Counter(b[p : p + width] for b in bodies for p in range(len(b) - width + 1))
