@@ -463,6 +463,22 @@ def test_mixing(spark):
     assert "MapInArrow" not in mixing.mix(df)._jdf.queryExecution().toString()
 
 
+def test_packing_follows_mixture(spark):
+    import corpus_pipeline as p
+
+    # one length of 1,024 ids: four pieces a sequence; 3,000 rows of a, 300 of b, ids in order of sources
+    rows = [(i, "the " * 1023, "en", "a" if i < 3000 else "b", 0) for i in range(3300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.pack(spark, docs, SF).collect()
+    assert {x.length for x in got} == {1024} and len({x.doc_id for x in got}) == 3300 and len(got[0]) == 7
+    assert {x.sequence_id for x in got} == set(range(825))
+    sizes = {"a": 3000, "b": 300}
+    share = sizes["b"] ** 0.5 / (sizes["a"] ** 0.5 + sizes["b"] ** 0.5)
+    for prefix in (80, 160, 240, 300):  # b ends after about 310 sequences
+        first = [x.doc_id for x in got if x.sequence_id < prefix]
+        assert abs(sum(i >= 3000 for i in first) - share * len(first)) <= 32  # two blocks
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
