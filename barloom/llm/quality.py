@@ -6,7 +6,7 @@ that is too short for a histogram to mean anything passes that comparison (minim
 
 Common words are the words with at least `word_share` of a language's words. A first pass counts per piece of input and
 passes on the words above `word_share / 5` of the piece, so no total is short by more than that share and no common word
-is missed; a second pass counts the candidates exactly. Every language has a reference of its own, rows without a language
+is missed; a second pass counts the candidates exactly, and those below the share are counted with all other words. Every language has a reference of its own, rows without a language
 have one together. The words per language are bounded by `word_share`; references of the languages with `lang_share` of all
 rows (a bounded number) are held by every task, those of all others stay a table that is joined on the language.
 """
@@ -164,12 +164,19 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((n[:, 0] > 0) & (m > 0), np.sqrt(np.maximum(parts.sum(axis=1) / 2 - by_chance, 0.0)), 0.0)
 
 
+def _folded(p: np.ndarray, q: np.ndarray, share: float) -> np.ndarray:
+    """Counts p of candidate words and of the rest (last): words below their share of q are moved to the rest."""
+    keep = np.append(q[:-1] >= share * q.sum(), False)
+    return np.concatenate((p[..., keep], p[..., ~keep].sum(axis=-1, keepdims=True)), axis=-1)
+
+
 @dataclass(frozen=True)
 class Rules:
     """Thresholds and references that judge a text; the parameters are those of `quality`."""
 
     words: dict
     refs: dict  # of the held languages
+    word_share: float
     most_class: float
     most_word: float
     least_chars: int
@@ -186,7 +193,10 @@ class Rules:
         for (kind, to), values in zip(found.items(), rows[5:], strict=True):
             for ref, at in groups.items():
                 q = self.refs[ref, kind] if (ref, kind) in self.refs else batch.column(f"ref_{kind}")[at[0]].as_py()
-                to[at] = js_distance(np.array([values[i] for i in at], np.float64), np.array(q, np.float64))
+                p, q = np.array([values[i] for i in at], np.float64), np.array(q, np.float64)
+                if kind == "common":
+                    p, q = _folded(p, q, self.word_share), _folded(q, q, self.word_share)
+                to[at] = js_distance(p, q)
         by_class = np.where(word_chars >= self.least_chars, found["classes"], np.nan)
         by_word = np.where(n_words >= self.least_words, found["common"], np.nan)
         base = (n_words < 20) | (100 * n_repeat > 30 * n_words)
@@ -241,7 +251,7 @@ def _fitted(docs: DataFrame, held: tuple[list[str], bool], word_share: float, *t
     rows = stored(_measured(_joined(docs, table, *held), words), "measured")
     refs = stored(_summed(rows), "refs")
     found = {(row.lang, kind): row[f"ref_{kind}"] for row in refs.filter(own).collect() for kind in ("classes", "common")}
-    return rows, table, refs, Rules(words, found, *thresholds)
+    return rows, table, refs, Rules(words, found, word_share, *thresholds)
 
 
 def keep_good(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.001, most_class: float = 0.28, most_word: float = 0.25, least_chars: int = 200, least_words: int = 40) -> DataFrame:

@@ -130,6 +130,17 @@ def test_rare_language_has_its_own_reference(spark):
         assert sorted(r.doc_id for r in quality.keep_good(docs, lang_share=share).collect()) == list(range(306))
 
 
+def test_words_below_the_share_do_not_count(spark):
+    # "edge" has 0.45 % of the words: a candidate in one slice, where others do not hide it, or in none
+    texts = [" ".join(["the", "of"] * 60 + [f"u{i}_{k}" for k in range(80)]) for i in range(60)]
+    texts = [t.replace(f"u{i}_0 ", "edge ") if i >= 6 else t for i, t in enumerate(texts)]
+    docs = table(spark, texts)
+    assert 0.004 < sum(t.split().count("edge") for t in texts) / sum(len(t.split()) for t in texts) < 0.005
+    got = [sorted((r.doc_id, r.word_distance) for r in quality.quality(docs.repartitionByRange(n, "doc_id")).collect()) for n in (1, 60)]
+    assert got[0] == got[1]
+    assert len({round(d, 12) for _, d in got[0]}) == 1  # with and without "edge" alike
+
+
 # 3
 def brute_removed(bodies, width):
     seen = collections.Counter(b[p : p + width] for b in bodies for p in range(len(b) - width + 1))
