@@ -445,6 +445,16 @@ def test_stage_drops_copies_of_low_similarity(spark):
     assert sorted(r.doc_id for r in p.keep_distinct(spark, docs, SF).collect()) == [0, 2]
 
 
+def test_stage_keeps_distinct_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    one, two = words(120, 81, 10**6), words(120, 82, 10**6)
+    rows = [(7, one, "en", "b", 1), (7, one, "en", "a", 1), (7, two, "en", "a", 1), (8, two + " end", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text, r.source) for r in p.keep_distinct(spark, docs, SF).collect())
+    assert got == sorted([(7, one, "a"), (7, two, "a")])
+
+
 # 9
 def test_mixing(spark):
     rows = [(i, "abcdef"[min(i % 13 // 2, 5)] if i % 13 else None, f"t{i}", 1) for i in range(2600)]
