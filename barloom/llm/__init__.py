@@ -19,6 +19,7 @@ MODULES = {
     "op8_simhash": "simhash",
     "op9_mixing": "mixing",
     "op10_token_files": "tokenbin",
+    "op11_filteraudit": "filteraudit",
 }
 
 
