@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,72 +37,97 @@ _SHIFT = 15  # an id pair is a << 15 | b; vocabularies B of up to 32,768 entries
 _INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
 
 
+def _flat(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes on end, offsets) of byte strings."""
+    return np.frombuffer(b"".join(strings), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in strings])))
+
+
+def _gather(values: np.ndarray, at: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the lists `use` on end, offsets of these)."""
+    start, size = at[use], at[use + 1] - at[use]
+    total = np.concatenate(([0], np.cumsum(size)))
+    return values[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 class Aligner:
-    """Tokens and groups of pieces (strings that start with a space), kept up to `most_pieces`."""
+    """Tokens of pieces (strings that start with a space) under both vocabularies."""
 
-    def __init__(self, path_a: str, path_b: str, most_pieces: int = 400_000):
+    def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = Encoder(path_a, most_pieces)
+        self.a = Encoder(path_a, 100_000)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         back = {c: b for b, c in _byte_table().items()}
-        size = self.a.tokenizer.get_vocab_size()
-        names = [self.a.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.bytes_a = [bytes(back[c] for c in name) if all(c in back for c in name) else name.encode() for name in names]
+        names = [self.a.tokenizer.id_to_token(i) or "" for i in range(self.a.tokenizer.get_vocab_size())]
+        bytes_a = [bytes(back[c] for c in name) if all(c in back for c in name) else name.encode() for name in names]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if len(names) > 1 << _SHIFT or any("▁" in name.lstrip("▁") for name in names):
             raise ValueError("vocabulary B must have up to 32,768 entries, none with a space behind another character")
-        self.bytes_b = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
-        self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.most = most_pieces
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids_a: list[list[int]] = []
-        self.ids_b: list[list[int]] = []
-        self.valid: list[bool] = []
-        self.groups: list[bytes] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links
-        self.codes: list[list[int]] = []
-
-    def slots(self, pieces: list[str]) -> np.ndarray:
-        """Number of each piece in the lists above."""
-        if len(self.slot) > self.most:
-            self.forget()
-        new = [p for p in pieces if p not in self.slot]
-        if new:
-            ids, at = self.a.encode(pa.array(new, pa.string()))
-            for piece, a, b in zip(new, np.split(ids, at[1:-1]), self.b.encode([p[1:] for p in new]), strict=True):
-                self._add(piece, a.tolist(), b)
-        return np.fromiter((self.slot[p] for p in pieces), np.int64, len(pieces))
-
-    def _add(self, piece: str, a: list[int], b: list[int]) -> None:
-        raw = piece.encode()
-        valid = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-        made: list[str] = []
-        codes: list[int] = []
-        i = j = end_a = end_b = first_a = first_b = 0
-        while valid and (i < len(a) or j < len(b)):  # both end with the piece
-            if end_a <= end_b:
-                end_a += len(self.bytes_a[a[i]])
-                i += 1
-            else:
-                end_b += len(self.bytes_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                of_a, of_b = a[first_a:i], b[first_b:j]
-                made.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
-                codes += [x << _SHIFT | y for x in of_a for y in of_b]
-                first_a, first_b = i, j
-        self.slot[piece] = len(self.valid)
-        self.valid.append(valid)
-        self.ids_a.append(a)
-        self.ids_b.append(b)
-        self.groups.append(";".join(made).encode())
-        self.sizes.append((len(a), len(b), len(made), len(codes)))
-        self.codes.append(codes)
+        bytes_b = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
+        self.bytes_a, self.bytes_b = _flat(bytes_a), _flat(bytes_b)
+        self.len_a, self.len_b = np.diff(self.bytes_a[1]), np.diff(self.bytes_b[1])
+        # the text of an id, with each separator that can follow it
+        most = max(len(bytes_a), len(bytes_b))
+        self.names = [_flat([b"%d%c" % (i, sep) for i in range(most)]) for sep in b",|;"]
+
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
+        """(ids of A on end, offsets of each piece, those of B, whether both give the piece's bytes back)."""
+        a, at_a = self.a.encode(pa.array(pieces, pa.string()))
+        found = self.b.encode([p[1:] for p in pieces], num_threads=1)
+        at_b = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+        b = np.fromiter(chain.from_iterable(found), np.int64, int(at_b[-1]))
+        a = a.astype(np.int64)
+        raw = [p.encode() for p in pieces]
+        same = self._gives_back(a, at_a, self.bytes_a, raw) & self._gives_back(b, at_b, self.bytes_b, raw)
+        return a, at_a, b, at_b, same
+
+    @staticmethod
+    def _gives_back(ids: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, np.ndarray], raw: list[bytes]) -> np.ndarray:
+        made, ends = _gather(*table, ids)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        like = np.diff(ends[at]) == size
+        if not like.all():  # keep the places of the others in step
+            made = made[np.repeat(like, np.diff(ends[at]))]
+        text = np.frombuffer(b"".join([x for x, ok in zip(raw, like.tolist(), strict=True) if ok]), np.uint8)
+        of = np.repeat(np.flatnonzero(like), size[like])
+        like[of[made != text]] = False
+        return like
+
+    def groups(self, a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(groups of each piece, id pairs of all links on end, links of each piece, text of each piece's groups) of pieces
+        whose tokens give the same bytes."""
+        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        ends = np.intersect1d(end_a, end_b, assume_unique=True)  # every token has a byte at least
+        last_a, last_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)  # of each group
+        size_a, size_b = (np.diff(np.append(-1, x)) for x in (last_a, last_b))
+        links = size_a * size_b
+        k = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)  # number of a link in its group
+        wide = np.repeat(size_b, links)
+        codes = a[np.repeat(last_a - size_a + 1, links) + k // wide] << _SHIFT | b[np.repeat(last_b - size_b + 1, links) + k % wide]
+        of = np.searchsorted(at_a, last_a, side="right") - 1  # the piece of a group
+        pieces = len(at_a) - 1
+        # the text: A's ids of a group, then B's; the separator depends on what follows
+        n = len(a) + len(b)
+        group_a, group_b = (np.repeat(np.arange(len(ends)), x) for x in (size_a, size_b))
+        place_a = np.arange(len(a)) + np.concatenate(([0], np.cumsum(size_b)))[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(size_a)[group_b]
+        ids, sep = np.empty(n, np.int64), np.zeros(n, np.int64)
+        ids[place_a], ids[place_b] = a, b
+        sep[place_a[last_a]], sep[place_b[last_b]] = 1, 2
+        table = np.concatenate([x for x, _ in self.names])
+        shift = np.concatenate(([0], np.cumsum([len(x) for x, _ in self.names])))
+        start = np.stack([x[:-1] + d for (_, x), d in zip(self.names, shift, strict=False)])[sep, ids]
+        size = np.diff(self.names[0][1])[ids]
+        total = np.concatenate(([0], np.cumsum(size)))
+        text = table[np.repeat(start - total[:-1], size) + np.arange(total[-1])].tobytes()
+        edge = total[at_a + at_b].tolist()
+        texts = [text[x : y - 1] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        return np.bincount(of, minlength=pieces), codes, np.bincount(of, links, pieces).astype(np.int64), texts
 
 
 @functools.cache
@@ -117,19 +143,6 @@ def _pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(values on end, offsets) of lists."""
-    at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    return np.fromiter((v for x in lists for v in x), np.int64, int(at[-1])), at
-
-
-def _gather(values: np.ndarray, at: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(values of the lists `use` on end, offsets of these)."""
-    start, size = at[use], at[use + 1] - at[use]
-    total = np.concatenate(([0], np.cumsum(size)))
-    return values[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total
-
-
 def _lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
 
@@ -158,24 +171,27 @@ def _aligned(batch: pa.RecordBatch, block: int, tool: Aligner) -> Iterator[pa.Re
     if len(data):
         cuts = cut_pieces(data, at)
         words, index = _pieces(data, cuts)
-        slots = tool.slots(words)
+        a, at_a, b, at_b, valid = tool.tokens(words)
         first = np.searchsorted(cuts, at)  # the pieces of a document; none if it is empty
-        use, of = slots[index], np.repeat(np.arange(n), np.diff(first))
-        ok = np.bincount(of, ~np.array(tool.valid)[use], n) == 0
-        whole = np.array(tool.sizes).reshape(-1, 4)[use]
-        for c in range(4):
-            sums[:, c] = np.bincount(of, whole[:, c], n)
-        sums[~ok] = 0
-        for i in np.flatnonzero(ok & (np.diff(first) > 0)).tolist():
-            digests[i] = hashlib.sha256(b";".join([tool.groups[s] for s in use[first[i] : first[i + 1]].tolist()])).hexdigest()
+        of = np.repeat(np.arange(n), np.diff(first))
+        ok = np.bincount(of, ~valid[index], n) == 0
         keep = ok[of]
-        pieces, of = index[keep].astype(np.int64), of[keep]
+        words = np.flatnonzero(np.bincount(index[keep], minlength=len(words)))  # of documents with tokens
+        number = np.zeros(len(valid), np.int64)
+        number[words] = np.arange(len(words))
+        pieces, of = number[index[keep]], of[keep]
+        (a, at_a), (b, at_b) = _gather(a, at_a, words), _gather(b, at_b, words)
+        groups, codes, sizes, texts = tool.groups(a, at_a, b, at_b)
+        for c, size in enumerate((np.diff(at_a), np.diff(at_b), groups, sizes)):
+            sums[:, c] = np.bincount(of, size[pieces], n)
         edge = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n))))
-        codes, code_at = _flat([tool.codes[s] for s in slots.tolist()])
-        sizes = np.diff(code_at)
-        held = np.unique(of * len(words) + pieces)
-        links, link_at = _gather(codes, code_at, held % len(words))
-        each = np.unique(np.repeat(held // len(words), np.diff(link_at)) << 31 | links)
+        order = pieces.tolist()
+        for i, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            if y > x:
+                digests[i] = hashlib.sha256(b";".join([texts[p] for p in order[x:y]])).hexdigest()
+        held = _distinct(of * len(words) + pieces)
+        links, link_at = _gather(codes, np.concatenate(([0], np.cumsum(sizes))), held % max(1, len(words)))
+        each = _distinct(np.repeat(held // max(1, len(words)), np.diff(link_at)) << 31 | links)
         pairs, docs = np.unique(each & ((1 << 31) - 1), return_counts=True)
     yield _row(
         n, block=pa.array(np.full(n, block)), kind=pa.array(np.zeros(n, np.int32)), doc_id=batch.column("doc_id"),
@@ -294,12 +310,11 @@ def _fragments(ranges: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 key, part, doc_id, start, stop, first = (batch.column(c)[row].as_py() for c in ("key", "part", "doc_id", "start", "stop", "first"))
                 data = np.frombuffer(batch.column("body")[row].as_py(), np.uint8)
                 words, index = _pieces(data, cut_pieces(data, np.array([0, len(data)])))
-                slots = tool.slots(words)
-                valid = all(tool.valid[s] for s in slots.tolist())
+                a, at_a, b, at_b, same = tool.tokens(words)
+                valid = bool(same.all())
                 made = []
-                for ids, size in ((tool.ids_a, tool.len_a), (tool.ids_b, tool.len_b)):
-                    values, at = _flat([ids[s] for s in slots.tolist()])
-                    values = _gather(values, at, index)[0]
+                for ids, at, size in ((a, at_a, tool.len_a), (b, at_b, tool.len_b)):
+                    values = _gather(ids, at, index)[0]
                     end = first + np.cumsum(size[values])
                     begin = end - size[values]
                     own = (begin >= start) & (begin < stop)
@@ -366,7 +381,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     return seen.select("block", "pair").join(totals, "pair").select("block", "pair", "count", "best")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 8 << 20, range_bytes: int = 1 << 18, fan: int = 8) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 4 << 20, range_bytes: int = 1 << 18, fan: int = 8) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of docs (doc_id, text).
 
     Texts that are null, empty or not given back by one of the tokenizers have no tokens: zeros and an empty string. Rows
