@@ -20,6 +20,7 @@ MODULES = {
     "op9_mixing": "mixing",
     "op10_token_files": "tokenbin",
     "op11_filteraudit": "filteraudit",
+    "op12_secrets": "secrets",
     "op13_crossalign": "crossalign",
 }
 

@@ -381,7 +381,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     return seen.select("block", "pair").join(totals, "pair").select("block", "pair", "count", "best")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 4 << 20, range_bytes: int = 1 << 18, fan: int = 8) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 4 << 20, range_bytes: int = 1 << 16, fan: int = 8) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of docs (doc_id, text).
 
     Texts that are null, empty or not given back by one of the tokenizers have no tokens: zeros and an empty string. Rows
@@ -391,8 +391,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 4 << 20,
     text = F.coalesce("text", F.lit(""))
     body = F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(" "), text)).cast("binary").alias("body")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body)
-    long = docs.filter(F.length("body") > 4 * range_bytes)
-    rows = _short(docs.filter(F.length("body") <= 4 * range_bytes), path_a, path_b, block_bytes)
+    long = docs.filter(F.length("body") > range_bytes)
+    rows = _short(docs.filter(F.length("body") <= range_bytes), path_a, path_b, block_bytes)
     rows = stored(rows.unionByName(_long(long, path_a, path_b, range_bytes, fan)), "aligned")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
