@@ -152,6 +152,13 @@ def sentiment_by_topic(df: DataFrame, topics: Sequence[str], score: str = "score
     return one.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
+def sentiment_daily(df: DataFrame, topics: Sequence[str], score: str = "score", date: str = "date") -> DataFrame:
+    """(date, one column per topic): mean score of the day's rows with that tag, else of all its rows. One row per day and task
+    is shuffled."""
+    means = [F.avg(F.when(F.array_contains("tags", t), F.col(score))) for t in topics]
+    return df.groupBy(date).agg(*[F.coalesce(m, F.avg(score)).alias(t) for t, m in zip(topics, means)])
+
+
 def topic_hits_daily(df: DataFrame, rules: Rules, text: str = "text", date: str = "date",
                      word_boundary: bool = False) -> DataFrame:
     """(date, topic, hits): keyword occurrences per day, all topics for each day.

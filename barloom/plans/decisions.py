@@ -9,13 +9,15 @@ from barloom.functions.scalar import map_label
 from barloom.operators import analogs as A
 from barloom.operators import decisions as D
 from barloom.operators import levels as L
-from barloom.operators.align import asof_join
+from barloom.operators.align import align_ffill, asof_join
 from barloom.operators.pairs import corr_matrix
+from barloom.operators.text import context_score, sentiment_daily, tag_topics
 from barloom.operators.signals import ASSET_CLASS, confidence, hit_rate, momentum_score, score_to_signal, stable_signal
 from barloom.plans import views as V
 from barloom.plans.aggregates import CORR
 from barloom.plans.registry import query
 from barloom.plans.signals import CONF, ROLE, STABLE, hit_sql
+from barloom.plans.text import SCORED, TOPIC_CONTEXTS, TOPICS
 from barloom.plans.views import O, SIG, ladder_sql, map_sql, rnd, roll
 from barloom.plans.windows import LEVELS_SQL, _pos_sql
 from barloom.session import stored
@@ -87,20 +89,72 @@ def outcome_summary(spark, sf):
     return s.withColumns({c: rnd(c, 4) for c in (*_Q, "mean_return", "prob_positive")})
 
 
+# Analogs of every date: the panel carried forward, so that a date counts for all series.
+_CARRY = ", ".join(f"last_value({p} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS {p}" for p in V.PANEL)
+_FH = {**_F, "vix_pct": "CASE WHEN len(l5) = 252 THEN (len(list_filter(l5, lambda x: x < p5)) + (len(list_filter(l5, lambda x: x = p5)) + 1) / CAST(2 AS DOUBLE)) / 252 END"}
+_ALL = " AND ".join(f"{f} IS NOT NULL" for f in A.FEATURES)
+_SIMH = (f"({' + '.join(f'((c.{f} - m_{f}) / s_{f}) * ((t.{f} - m_{f}) / s_{f})' for f in A.FEATURES)}) / sqrt(({' + '.join(f'((c.{f} - m_{f}) / s_{f}) ** 2' for f in A.FEATURES)})"
+         f" * ({' + '.join(f'((t.{f} - m_{f}) / s_{f}) ** 2' for f in A.FEATURES)}))")
+HIST = f"""wc AS (SELECT date, {_CARRY} FROM wide), wci AS (SELECT * FROM wc WHERE {' AND '.join(f'{p} IS NOT NULL' for p in V.PANEL)}),
+  wcs AS (SELECT w.*, m.spread, list(p5) OVER (ORDER BY w.date ROWS 251 PRECEDING) AS l5 FROM wci w ASOF LEFT JOIN (SELECT date, y10 - y2 AS spread FROM macro) m ON w.date >= m.date),
+  fh0 AS (SELECT date, {', '.join(f'{_FH[f]} AS {f}' for f in A.FEATURES)} FROM wcs), fh AS MATERIALIZED (SELECT * FROM fh0 WHERE {_ALL}),
+  hm AS MATERIALIZED (SELECT t.date, count(*) AS n, {', '.join(f'avg(c.{f}) AS m_{f}, stddev_pop(c.{f}) AS s_{f}' for f in A.FEATURES)} FROM fh t JOIN fh c ON c.date < t.date - 90 GROUP BY t.date),
+  hsim AS (SELECT t.date, c.date AS analog_date, {_SIMH} AS similarity FROM fh t JOIN hm USING (date) JOIN fh c ON c.date < t.date - 90 WHERE n >= 100),
+  han AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY date ORDER BY similarity DESC, analog_date) AS place FROM hsim WHERE similarity >= 0.7 QUALIFY place <= 5)"""
+HOUT = HIST + """, hd AS (SELECT DISTINCT analog_date FROM han), hnb AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM bars),
+  hab AS (SELECT b.symbol, analog_date, b.close AS base, b.n FROM hd, hnb b QUALIFY row_number() OVER (PARTITION BY b.symbol, analog_date ORDER BY abs(b.date - analog_date), b.date) = 1),
+  hao AS (SELECT a.symbol, analog_date, CAST(h AS INTEGER) AS horizon, p.date AS known, (p.close / base - 1) * 100 AS forward_return FROM hab a, (VALUES (10), (30), (60)) v(h), hnb p WHERE p.symbol = a.symbol AND p.n = a.n + h),
+  ho AS (SELECT han.date, symbol, analog_date, horizon, forward_return FROM han JOIN hao USING (analog_date) WHERE known <= han.date)"""
+_PROB = "round(greatest(0.3, least(0.8, avg(CASE WHEN forward_return > 0 THEN 1.0 ELSE 0.0 END))) * 100, 4)::DOUBLE"
+
+
+def feature_history(spark, sf):
+    """State features of every date from the panel carried forward; the volatility rank looks back 252 rows."""
+    m = V.macro(spark, sf).select("date", (F.col("y10") - F.col("y2")).alias("spread"))
+    p = asof_join(align_ffill(V.wide(spark, sf), V.PANEL), m, ["spread"], by=())
+    return A.state_features(p, {"vix": "p5", "spread": "spread", **_MOM}, history=252)
+
+
+def _history(spark, sf):
+    return stored(A.analog_history(stored(feature_history(spark, sf), "features")), "analogs")
+
+
+@query("an_2_history", f"WITH {V.WIDE}, {V.MACRO}, {HIST} SELECT date, analog_date, CAST(place AS INTEGER) AS place, round(similarity, 6) AS similarity FROM han")
+def analog_history(spark, sf):
+    return _history(spark, sf).select("date", "analog_date", "place", rnd("similarity").alias("similarity"))
+
+
+def outcome_history(spark, sf):
+    """Outcome summary of every date, symbol and horizon."""
+    outcomes = A.history_outcomes(_history(spark, sf), V.bars(spark, sf), list(V.SYMBOLS))
+    return A.outcome_summary(outcomes, ("date", "symbol", "horizon"))
+
+
+@query("an_4_history", f"WITH {V.WIDE}, {V.MACRO}, {HOUT} SELECT date, symbol, horizon, {', '.join(f'round(quantile_cont(forward_return, {v}), 4) AS {k}' for k, v in _Q.items())}, "
+       f"round(avg(forward_return), 4) AS mean_return, {_PROB} AS prob_positive, CAST(count(*) AS BIGINT) AS n_analogs FROM ho GROUP BY 1, 2, 3")
+def outcome_summary_history(spark, sf):
+    return outcome_history(spark, sf).withColumns({c: rnd(c, 4) for c in (*_Q, "mean_return", "prob_positive")})
+
+
 # ------------------------------------------------------------------------- decisions
 
 _CLS = map_sql("symbol", {s: ASSET_CLASS[a] for s, a in ROLE.items()})
-_SENT = "((day(date) * 37) % 201 - 100) / 100.0::DOUBLE"
+# The topic whose headlines speak of a symbol.
+SYMBOL_TOPIC = dict(zip(V.SYMBOLS, ("T_COMMON", "T_EN", "T_AI", "T_LICENSE", "T_MAIL")))
+_NEWS = SCORED.replace(V.HEADLINES, V.NEWS) + ", ns AS (SELECT date AS nd, " + ", ".join(
+    f"coalesce(avg(score) FILTER (list_contains(tags, '{t}')), avg(score)) AS {t}" for t in SYMBOL_TOPIC.values()) + " FROM sc GROUP BY date)"
+_SENT = "CASE symbol " + " ".join(f"WHEN '{s}' THEN {t}" for s, t in SYMBOL_TOPIC.items()) + " END"
 MACRO_L = "CASE asset_class " + " ".join(f"WHEN '{c}' THEN {map_sql('regime', t, 0.0)}" for c, t in D.REGIME_SCORES.items()) + " END"
-DEC = f"""{V.WIDE}, {V.MACRO}, {V.mom_sql('bars')}, {STABLE}, {hit_sql('mom')},
+DEC = f"""{V.WIDE}, {V.MACRO}, {HOUT}, {_NEWS}, {V.mom_sql('bars')}, {STABLE}, {hit_sql('mom')},
   vx0 AS (SELECT date, p5 / 12500.0 AS vix, row_number() OVER (ORDER BY date) AS rn FROM wide WHERE p5 IS NOT NULL),
   vx AS (SELECT a.date, a.vix, round(CAST(count(*) FILTER (h.vix < a.vix) AS DOUBLE) / count(*) * 100, 1) AS vix_pct FROM vx0 a JOIN vx0 h ON h.rn BETWEEN a.rn - 755 AND a.rn GROUP BY 1, 2),
   sp AS (SELECT date, p2 > ({roll('avg', 'p2', 200, **N)}) AS above FROM wide WHERE p2 IS NOT NULL),
   mk AS (SELECT vx.date, vix, vix_pct, CASE WHEN vix > 30 THEN 'Crisis' WHEN vix > 20 AND NOT above THEN 'Bear Market' WHEN vix <= 20 AND above THEN 'Bull Market' ELSE 'Sideways' END AS regime FROM vx LEFT JOIN sp ON vx.date = sp.date),
-  up AS (SELECT symbol, date, {roll('avg', 'u', 60, 1)} * 100 AS prob_positive FROM (SELECT symbol, date, CASE WHEN close > lag(close) {O} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS u FROM bars)),
-  dl AS (SELECT symbol, date, last_day(date) AS d1, score, signal, stable, hit_rate, prob_positive, {_SENT} AS sentiment, {_CLS} AS asset_class, regime, vix, vix_pct, last_day(date) FROM ss JOIN hr USING (symbol, date) JOIN up USING (symbol, date) LEFT JOIN mk USING (date)),
-  dm AS (SELECT d.*, m.spread FROM dl d ASOF LEFT JOIN (SELECT date AS md, y10 - y2 AS spread FROM macro) m ON d.date >= m.md),
-  lay AS (SELECT *, coalesce(score, 0) AS signal_layer, round((coalesce(prob_positive, 50) - 50) / 50, 3) AS analog_layer, sentiment AS sentiment_layer, {MACRO_L} AS macro_layer,
+  up AS (SELECT symbol, date, greatest(0.3, least(0.8, avg(CASE WHEN forward_return > 0 THEN 1.0 ELSE 0.0 END)))::DOUBLE * 100 AS prob_positive FROM ho WHERE horizon = 30 GROUP BY 1, 2),
+  dl AS (SELECT symbol, date, last_day(date) AS d1, score, signal, stable, hit_rate, prob_positive, {_CLS} AS asset_class, regime, vix, vix_pct FROM ss JOIN hr USING (symbol, date) LEFT JOIN up USING (symbol, date) LEFT JOIN mk USING (date)),
+  dn AS (SELECT d.*, {_SENT} AS sentiment FROM dl d ASOF LEFT JOIN ns ON d.date >= ns.nd),
+  dm AS (SELECT d.*, m.spread FROM dn d ASOF LEFT JOIN (SELECT date AS md, y10 - y2 AS spread FROM macro) m ON d.date >= m.md),
+  lay AS (SELECT *, coalesce(score, 0) AS signal_layer, round((coalesce(prob_positive, 50) - 50) / 50, 3) AS analog_layer, {V.clip_sql('coalesce(sentiment, 0)', -1.0, 1.0)} AS sentiment_layer, {MACRO_L} AS macro_layer,
    coalesce(round(CASE WHEN spread < 0 THEN -0.4 WHEN spread > 1 THEN 0.3 ELSE spread * 0.3 END, 3), 0.1) AS yield_layer, round(-(coalesce(vix_pct, 50) - 50) / 100, 3) AS vix_layer FROM dm),
   fu0 AS (SELECT * REPLACE (signal_layer * CASE WHEN stable = signal THEN 1.0 ELSE 0.5 END * CASE WHEN (hit_rate - 0.5) * 2 + 1 < 0.5 THEN 0.5 WHEN (hit_rate - 0.5) * 2 + 1 > 1.5 THEN 1.5 ELSE (hit_rate - 0.5) * 2 + 1 END AS signal_layer) FROM lay),
   fu AS (SELECT *, {' + '.join(f'{k}_layer * {w}' for k, w in D.BASE_WEIGHTS.items())} AS combined FROM fu0),
@@ -112,8 +166,9 @@ DEC = f"""{V.WIDE}, {V.MACRO}, {V.mom_sql('bars')}, {STABLE}, {hit_sql('mom')},
 def decision_inputs(spark, sf):
     b = V.bars(spark, sf).select("symbol", "date", "close")
     m = momentum_score(b).withColumn("signal", score_to_signal("score"))
-    m = hit_rate(stable_signal(m)).withColumn("_u", F.when(F.col("close") > F.lag("close").over(_w()), 1.0).otherwise(0.0))
-    m = m.withColumn("prob_positive", rolling(F.avg, "_u", 60, min_periods=1) * 100.0)
+    m = hit_rate(stable_signal(m))
+    prob = outcome_history(spark, sf).filter("horizon = 30").select("symbol", "date", "prob_positive")
+    m = m.join(prob, ["symbol", "date"], "left")
     vix = b.filter("symbol = '5-LOW'").select("date", (F.col("close") / 12500.0).alias("vix"))
     vix = vix.withColumn("vix_pct", F.round(pct_lt_tail("vix", 756, by=()) * 100.0, 1))
     sp = b.filter("symbol = '2-HIGH'").select("date", (F.col("close") > sma("close", 200, by=())).alias("above"))
@@ -121,11 +176,14 @@ def decision_inputs(spark, sf):
     regime = F.when(v > 30, "Crisis").when((v > 20) & ~up, "Bear Market").when((v <= 20) & up, "Bull Market").otherwise("Sideways")
     mk = vix.join(sp, "date", "left").select("date", "vix", "vix_pct", regime.alias("regime"))
     spread = V.macro(spark, sf).select("date", (F.col("y10") - F.col("y2")).alias("spread"))
+    scored = context_score(tag_topics(V.news(spark, sf), TOPICS), TOPIC_CONTEXTS)
+    topics = list(SYMBOL_TOPIC.values())
     j = m.join(mk, "date", "left")
     days = asof_join(j.select("date").distinct(), spread, ["spread"], by=())
+    days = asof_join(days, sentiment_daily(scored, topics), topics, by=())
+    sentiment = F.coalesce(*(F.when(F.col("symbol") == s, F.col(t)) for s, t in SYMBOL_TOPIC.items()))
     return j.join(days, "date", "left").withColumns({
-        "sentiment": ((F.dayofmonth("date") * 37) % 201 - 100) / F.lit(100.0),
-        "asset_class": map_label("symbol", {s: ASSET_CLASS[a] for s, a in ROLE.items()})})
+        "sentiment": sentiment, "asset_class": map_label("symbol", {s: ASSET_CLASS[a] for s, a in ROLE.items()})}).drop(*topics)
 
 
 def _w():
@@ -205,11 +263,12 @@ def technical_levels(spark, sf):
     return L.technical_levels(V.bars(spark, sf)).select("symbol", *[rnd(c).alias(c) for c in _TK])
 
 
-LV4 = f"""{V.mom_sql('bars')}, {ATR}, {TECH}, fq0 AS (SELECT symbol, (lead(close, 30) {O} / close - 1) * 100 AS f FROM bars),
-  fq AS (SELECT symbol, quantile_cont(f, 0.5) AS med, quantile_cont(f, 0.25) AS p25, quantile_cont(f, 0.75) AS p75 FROM fq0 GROUP BY 1),
+LV4 = f"""{V.MACRO}, {HOUT}, {V.mom_sql('bars')}, {ATR}, {TECH},
+  fq AS (SELECT symbol, quantile_cont(forward_return, 0.5) AS med0, quantile_cont(forward_return, 0.25) AS p250, quantile_cont(forward_return, 0.75) AS p750 FROM ho WHERE horizon = 30 GROUP BY symbol, date
+    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
   lb AS (SELECT symbol, CASE WHEN score > 0 THEN 'LONG' ELSE 'SHORT' END AS bias, {ladder_sql('abs(score)', [('>=', 0.40, 'HIGH'), ('>=', 0.25, 'MEDIUM'), ('>=', 0.15, 'LOW')], 'NONE')} AS confidence FROM mom QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
   la AS (SELECT symbol, atr FROM atr QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
-  l0 AS (SELECT *, CASE confidence WHEN 'HIGH' THEN 0.85 WHEN 'MEDIUM' THEN 1.0 WHEN 'LOW' THEN 1.2 ELSE 1.4 END::DOUBLE AS w FROM tl JOIN lb USING (symbol) JOIN la USING (symbol) JOIN fq USING (symbol)),
+  l0 AS (SELECT *, CASE confidence WHEN 'HIGH' THEN 0.85 WHEN 'MEDIUM' THEN 1.0 WHEN 'LOW' THEN 1.2 ELSE 1.4 END::DOUBLE AS w FROM (SELECT *, coalesce(med0, 0.0) AS med, coalesce(p250, -2.0) AS p25, coalesce(p750, 2.0) AS p75 FROM tl LEFT JOIN fq USING (symbol)) t JOIN lb USING (symbol) JOIN la USING (symbol)),
   l1 AS (SELECT *, CASE bias WHEN 'LONG' THEN CASE WHEN current < ma20 THEN current - atr * w ELSE greatest(ma20, nearest_support) * w END ELSE current - atr * 2 * w END AS el,
    CASE bias WHEN 'LONG' THEN current + atr * 2 * w ELSE least(ma20, nearest_resistance) / w END AS eh,
    CASE bias WHEN 'LONG' THEN current * (1 + greatest(med, 1.0) / 100) ELSE greatest(current * (1 + least(p25, -2.0) / 100), nearest_support * 0.98) END AS tl_,
@@ -225,12 +284,12 @@ def _levels(spark, sf):
     bias = m.groupBy("symbol").agg(F.max_by("score", "date").alias("score"))
     bias = bias.select("symbol", F.when(F.col("score") > 0, "LONG").otherwise("SHORT").alias("bias"), confidence("score").alias("confidence"))
     a = L.atr(b).groupBy("symbol").agg(F.max_by("atr", "date").alias("atr"))
-    fwd = b.select("symbol", ((F.lead("close", 30).over(_w()) / F.col("close") - 1) * 100).alias("f"))
-    q = fwd.groupBy("symbol").agg(*[F.percentile("f", v).alias(n) for n, v in (("median_return", 0.5), ("p25_return", 0.25), ("p75_return", 0.75))])
-    return L.technical_levels(b).join(bias, "symbol").join(a, "symbol").join(q, "symbol")
+    q = outcome_history(spark, sf).filter("horizon = 30").groupBy("symbol").agg(
+        F.max_by(F.struct("median_return", "p25_return", "p75_return"), "date").alias("_q")).select("symbol", "_q.*")
+    return L.technical_levels(b).join(bias, "symbol").join(a, "symbol").join(q, "symbol", "left")
 
 
-@query("lv_4_entry_target_stop", f"WITH {V.BARS}, {LV4} SELECT * FROM lv")
+@query("lv_4_entry_target_stop", f"WITH {V.WIDE}, {LV4} SELECT * FROM lv")
 def entry_target_stop(spark, sf):
     return L.entry_target_stop(_levels(spark, sf)).select(
         "symbol", "bias", "confidence", "entry_low", "entry_high", "target_low", "target_high", "stop_level", "rr_ratio")

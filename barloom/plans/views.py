@@ -98,6 +98,12 @@ def headlines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def news(spark: SparkSession, sf: str) -> DataFrame:
+    """The headlines dated over the days of the bar view."""
+    days = F.date_add(F.lit("1992-01-01").cast("date"), ((F.col("doc_id") * 37) % 2400).cast("int"))
+    return headlines(spark, sf).withColumn("date", days)
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     return headlines(spark, sf).withColumns({
         "tier": (1 + F.col("doc_id") % 3).cast("int"),
@@ -202,6 +208,9 @@ TICKS = "ticks AS (SELECT event_type AS symbol, ts, value AS price, event_id AS
 HEADLINES = """headlines AS (SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date,
   source, text, ((doc_id * 37) % 201 - 100) / CAST(100.0 AS DOUBLE) AS base_score FROM documents)"""
 
+NEWS = """headlines AS (SELECT doc_id, DATE '1992-01-01' + CAST((doc_id * 37) % 2400 AS INTEGER) AS date,
+  source, text, ((doc_id * 37) % 201 - 100) / CAST(100.0 AS DOUBLE) AS base_score FROM documents)"""
+
 ARTICLES = HEADLINES + """,
  articles AS (SELECT *, CAST(1 + doc_id % 3 AS INTEGER) AS tier,
   CAST(doc_id % 10 AS INTEGER) AS age_days FROM headlines)"""
