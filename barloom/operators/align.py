@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import carried, carried_back, lead, ordered
+from barloom.operators.splits import split_evenly
 
 
 def by_year(x: Column) -> Column:
@@ -43,10 +44,11 @@ def align_ffill(wide: DataFrame, names: Sequence[str], by: Sequence[str] = (),
 def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequence[str] = ("symbol",),
               on: str = "date", direction: str = "backward",
               bucket: Callable[[Column], Column] = by_year, allow_equal: bool = True,
-              keep_time: str | None = None) -> DataFrame:
+              keep_time: str | None = None, most_rows: int | None = None) -> DataFrame:
     """Attach the last right row with right.on <= left.on (or the first with >= if forward).
 
-    Both sides are cut into order-preserving buckets. A small table (one row per key and bucket)
+    Both sides are cut into order-preserving buckets: of time, or with `most_rows` splits of about that many rows wherever
+    the rows are (the sides are then read twice). A small table (one row per key and bucket)
     carries the last known right row across bucket borders; inside a bucket a window over the
     union finds the match. A key that holds most of the rows is thus split over its buckets, and
     no row is paired with more than one other. `right` must be unique on (by, on).
@@ -60,6 +62,12 @@ def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequ
         r.withColumns({"_l": F.lit(None).cast(l.schema["_l"].dataType), "_side": F.lit(0 if allow_equal else 2)}))
     # One shuffle on a struct key serves both branches below, so each input is computed once (plain
     # key columns would get a not-null filter from the join in one branch only).
+    if most_rows:
+        # a right row meets the left rows of its instant whichever split they are in
+        end = F.lit((1 << 62) * (-1 if back == allow_equal else 1))
+        tie = F.when(F.col("_side") != 1, end).otherwise(F.pmod(F.xxhash64("_l"), F.lit(1 << 40)))
+        both = split_evenly(both, by, on, tie, most_rows, out="_b")
+        bucket = lambda _: F.col("_b")
     key = F.struct(*by, bucket(F.col(on)).alias("_b")).alias("_k")
     both = both.select(on, "_l", "_v", "_side", key).repartition("_k")
 

@@ -101,12 +101,16 @@ def full_outer_on_date(spark, sf):
     return x.join(y, "date", "full")
 
 
+# Rows of a split of ticks.
+TICK_ROWS = 1_000_000
+
+
 @query("jn_3_backward_asof", f"""WITH {V.TICKS}, big AS (SELECT symbol, ts, price AS last_big FROM ticks WHERE price > 50)
   SELECT t.symbol, t.id, t.price, b.last_big FROM ticks t ASOF LEFT JOIN big b ON t.symbol = b.symbol AND t.ts >= b.ts""")
 def backward_asof(spark, sf):
     t = V.ticks(spark, sf)
     big = t.filter("price > 50").select("symbol", "ts", F.col("price").alias("last_big"))
-    out = A.asof_join(t, big, ["last_big"], on="ts", bucket=lambda x: F.date_trunc("minute", x))
+    out = A.asof_join(t, big, ["last_big"], on="ts", most_rows=TICK_ROWS)
     return out.select("symbol", "id", "price", "last_big")
 
 
@@ -115,7 +119,7 @@ def backward_asof(spark, sf):
 def forward_asof(spark, sf):
     t = V.ticks(spark, sf)
     big = t.filter("price > 50").select("symbol", "ts", F.col("price").alias("next_big"))
-    out = A.asof_join(t, big, ["next_big"], on="ts", direction="forward", bucket=lambda x: F.date_trunc("minute", x))
+    out = A.asof_join(t, big, ["next_big"], on="ts", direction="forward", most_rows=TICK_ROWS)
     return out.select("symbol", "id", "next_big")
 
 

@@ -11,6 +11,7 @@ from barloom.operators.levels import nearest_levels, swing_points
 from barloom.operators.pairs import pair_rows
 from barloom.operators.ranking import top_per_key
 from barloom.operators.smoothing import with_ewm
+from barloom.operators.splits import split_evenly
 from barloom.plans import views as V
 from barloom.plans.registry import query
 from barloom.plans.views import O, clip_sql, corr_sql, rnd, roll, w
@@ -280,21 +281,25 @@ def surprise_index(spark, sf):
 T_OVER = "OVER (PARTITION BY symbol ORDER BY ts, id"
 
 
+def _even_ticks(spark, sf):
+    return split_evenly(V.ticks(spark, sf), ["symbol"], "ts", F.col("id"))
+
+
 @query("wn_3_sma_ticks", f"""WITH {V.TICKS} SELECT symbol, id, round(CASE WHEN count(price) {T_OVER} ROWS 19 PRECEDING) >= 20
   THEN avg(price) {T_OVER} ROWS 19 PRECEDING) END, 6) AS ma20 FROM ticks""")
 def sma_ticks(spark, sf):
-    c = chunked(V.ticks(spark, sf), 19, ["symbol"], ["ts", "id"], F.date_trunc("minute", F.col("ts")))
+    c = chunked(_even_ticks(spark, sf), 19, ["symbol"], ["ts", "id"], F.col("_split"))
     ma = W.sma("price", 20, by=("symbol", "_chunk"), order=("ts", "id"))
     return drop_halo(c.withColumn("ma20", ma)).select("symbol", "id", rnd("ma20").alias("ma20"))
 
 
 @query("wn_26_row_number_ticks", f"WITH {V.TICKS} SELECT symbol, id, CAST(row_number() {T_OVER}) AS BIGINT) AS rn FROM ticks")
 def row_number_ticks(spark, sf):
-    t = number_rows(V.ticks(spark, sf), ["symbol"], ["ts", "id"], F.date_trunc("minute", F.col("ts")))
+    t = number_rows(_even_ticks(spark, sf), ["symbol"], ["ts", "id"], F.col("_split"))
     return t.select("symbol", "id", "rn")
 
 
 @query("wn_17_running_total_ticks", f"""WITH {V.TICKS} SELECT symbol, id, round(sum(price) {T_OVER} ROWS UNBOUNDED PRECEDING), 2) AS running FROM ticks""")
 def running_total_ticks(spark, sf):
-    t = running_total(V.ticks(spark, sf), "price", ["symbol"], ["ts", "id"], F.date_trunc("minute", F.col("ts")))
+    t = running_total(_even_ticks(spark, sf), "price", ["symbol"], ["ts", "id"], F.col("_split"))
     return t.select("symbol", "id", rnd("running", 2).alias("running"))
