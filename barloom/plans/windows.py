@@ -8,6 +8,7 @@ from barloom.functions import rolling as W
 from barloom.functions.scalar import clip, ladder
 from barloom.operators.chunking import chunked, drop_halo, number_rows, running_total
 from barloom.operators.levels import nearest_levels, swing_points
+from barloom.operators.order_stats import rank_pct_long
 from barloom.operators.pairs import pair_rows
 from barloom.operators.ranking import top_per_key
 from barloom.operators.smoothing import with_ewm
@@ -303,3 +304,16 @@ def row_number_ticks(spark, sf):
 def running_total_ticks(spark, sf):
     t = running_total(_even_ticks(spark, sf), "price", ["symbol"], ["ts", "id"], F.col("_split"))
     return t.select("symbol", "id", rnd("running", 2).alias("running"))
+
+
+# Rows of the long frame.
+FRAME = 5000
+
+
+@query("wn_13_rank_long_ticks", f"""WITH {V.TICKS}, r AS (SELECT *, row_number() {T_OVER}) AS rn FROM ticks),
+  c AS (SELECT a.symbol, a.id, count(*) AS n, count(*) FILTER (b.price < a.price) AS lt, count(*) FILTER (b.price = a.price) AS eq
+   FROM r a JOIN r b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - {FRAME - 1} AND a.rn GROUP BY 1, 2)
+  SELECT symbol, id, round(CASE WHEN n >= 50 THEN (lt + (eq + 1) / 2.0::DOUBLE) / n END, 8) AS rank_pct, round(lt / n, 8) AS pct_lt, round((lt + eq) / n, 8) AS pct_le FROM c""")
+def rank_long_ticks(spark, sf):
+    d = rank_pct_long(_even_ticks(spark, sf), "price", FRAME, ["symbol"], ["ts", "id"], F.col("_split"), min_periods=50)
+    return d.select("symbol", "id", *[rnd(c, 8).alias(c) for c in ("rank_pct", "pct_lt", "pct_le")])
