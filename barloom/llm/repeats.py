@@ -17,6 +17,7 @@ Texts are read whole; long ones are taken in overlapping pieces, so memory per t
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ _SYMBOLS = 9  # most symbols of a prefix: the order of suffixes is needed to thi
 _IDX = 20  # low bits of a packed gram hold its place in the piece
 _PIECE = (1 << _IDX) - 4096
 _TYPES = {"int64": T.LongType(), "string": T.StringType(), "binary": T.BinaryType()}
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _MIX = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -388,6 +390,75 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
     return out.withColumnRenamed("carry", carry) if carry else out
 
 
+_CODE = 8  # bytes that stand for a word
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, body): every word of the texts as the 8 bytes of its XXH64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            if len(known) > 500_000:
+                known = {}
+            made = []
+            for body in batch.column("body").to_pylist():
+                words = body.split()  # at ASCII white space, as bytes
+                known |= {w: xxhash.xxh64_digest(w) for w in set(words) - known.keys()}
+                made.append(b"".join([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(made, pa.binary())], ["doc_id", "th", "body"])
+
+    return docs.mapInArrow(run, "doc_id long, th long, body binary")
+
+
+def word_spans(spans: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """Words [first, stop) of coded spans: of each, its windows that start with a word."""
+    found = []
+    for start, stop in spans:
+        first, last = -(-start // _CODE), (stop - width) // _CODE
+        if first <= last:
+            found.append((first, last + width // _CODE))
+    return _joined(found)
+
+
+def remove_passages(docs: DataFrame, words: int = 50, doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) of every row of `docs`: each word in a run of `words` equal words that also starts
+    elsewhere, in the same text or another, is removed.
+
+    Words are separated by ASCII white space, which need not be equal. They stand as codes of 8 bytes, and repeated runs
+    are the repeated windows of 8 * words bytes that start with a code (see the module's text; two words of one code are
+    taken as equal). White space around a removed run stays. Null texts are empty; shorter texts stay as they are;
+    repeated rows are texts of their own; null doc_ids are allowed; further columns are not read but for `carry`, which is
+    passed on; no rows give no rows. words: 50 or more.
+    """
+    width = _CODE * words
+    if width < 400:
+        raise ValueError("the shared phrases are guaranteed for 50 words or more")
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    extra = [F.col(carry).alias("carry")] if carry else []
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"), *extra)
+    found = _spans(_coded(docs.select("doc_id", "th", "body")), width).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").drop("th", "_d", "_t")
+    passed = ["doc_id", *(["carry"] if carry else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "body"):
+                rows = []
+                for body, spans in zip(part.column("body").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    cut = word_spans([(s["start"], s["stop"]) for s in spans or ()], width)
+                    at = [m.span() for m in _WORD.finditer(body)] if cut else ()
+                    edges = [0, *(x for first, stop in cut for x in (at[first][0], at[stop - 1][1])), len(body)]
+                    kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    rows.append((len(at) if cut else len(body.split()), sum(b - a for a, b in cut), kept.decode()))
+                made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *made], [*passed, "n_words", "n_removed", "kept_text"])
+
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+    out = both.mapInArrow(run, T.StructType([both.schema[c] for c in passed] + added))
+    return out.withColumnRenamed("carry", carry) if carry else out
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed of every document, and the digest of the rest."""
     return remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept", "kept_text")

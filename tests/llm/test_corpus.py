@@ -527,3 +527,43 @@ def test_pipeline(spark):
     assert packed.agg(F.sum("length")).first()[0] == sum(len(i) + 1 for i in encoded("word_bpe_49k.json", [r.text for r in cut.collect()]))
     for _, stage in p.STAGES:
         assert stage(spark, docs.filter("false"), SF).count() == 0
+
+
+def brute_passages(texts, size):
+    """Per text: the words left when every word in a run of `size` words that also starts elsewhere goes."""
+    lists = [(t or "").encode().split() for t in texts]
+    seen = collections.Counter(tuple(w[p : p + size]) for w in lists for p in range(len(w) - size + 1))
+    out = []
+    for w in lists:
+        gone = set()
+        for p in range(len(w) - size + 1):
+            if seen[tuple(w[p : p + size])] > 1:
+                gone |= set(range(p, p + size))
+        out.append((len(w), len(gone), [x for i, x in enumerate(w) if i not in gone]))
+    return out
+
+
+def test_passages(spark, texts):
+    run, other = words(60, 901, 10**6).split(), words(400, 902, 10**6).split()
+    planted = [run[:50] + other[:40], other[40:70] + run[:50], other[80:120] + run[:49] + other[120:130], other[130:150] + run[:49] + ["last"], run[5:60] + other[200:260], other[260:300] + run[5:60] + run[:51]]
+    short = ["a b " * 30, "ab " * 49, "ab " * 50, "x y z " * 16 + "x y", "x y z " * 16 + "x y z q"]
+    mixed = texts + [" ".join(x) for x in planted] + ["\n\t ".join(planted[0])] + short
+    df = table(spark, mixed).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    got = repeats.remove_passages(df, 50, carry="n_chars").collect()
+    want = brute_passages(mixed, 50)
+    assert sorted((r.n_words, r.n_removed, r.kept_text.encode().split()) for r in got) == sorted(want)
+    assert any(0 < gone < n for n, gone, _ in want) and sum(gone == 0 for _, gone, _ in want) > 10
+    whole = {r.n_chars: r.kept_text for r in got if not r.n_removed}
+    assert all(whole[len(t or "")] == (t or "") for t, (_, gone, _) in zip(mixed, want) if not gone and sum(len(t or "") == len(u or "") for u in mixed) == 1)
+    assert repeats.remove_passages(df.filter("false"), 50).count() == 0
+    with pytest.raises(ValueError):
+        repeats.remove_passages(df, 49)
+
+
+def test_signatures_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m, shared in ((300, 280, 250), (5, 5, 0), (900, 1000, 100), (1, 0, 0)):
+        both = r.integers(0, 1 << 63, n + m, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        a, b = both[:n], np.concatenate((both[:shared], both[n : n + m - shared]))
+        differ = int(np.bitwise_count((similar.signature(a) ^ similar.signature(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
