@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barloom.llm import editcount, mixing, packing, quality, repeats, similar, simhash, tokenbin, tokens, topk, toxicity, warc
+from barloom.llm.common import stored
 from barloom.llm.components import components
 from barloom.llm.suffixes import suffix_ranks
 from barloom.session import work_dir
@@ -510,21 +511,34 @@ def test_pipeline(spark):
     judged = quality.quality(docs)
     assert good.count() == judged.filter("kept").count()
     distinct = p.keep_distinct(spark, good, SF).persist()
-    groups = simhash.near_duplicates(good.filter("doc_id IS NOT NULL"), size=5)
-    assert sorted(r.doc_id for r in distinct.filter("doc_id IS NOT NULL").collect()) == sorted(r.component_id for r in groups.select("component_id").distinct().collect())
+    rows = {r.doc_id: r.text for r in good.filter("doc_id IS NOT NULL").collect()}
+    sets = {i: set(similar.shingle_set((t or "").encode(), 5).tolist()) for i, t in rows.items()}
+    low = {i: i for i in rows}
+    for i in sorted(rows):  # components of Jaccard 0.8 by brute force
+        for j in sorted(rows):
+            if j < i and low[i] != low[j] and (100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])):
+                old, new = max(low[i], low[j]), min(low[i], low[j])
+                low = {k: new if v == old else v for k, v in low.items()}
+    assert sorted(r.doc_id for r in distinct.filter("doc_id IS NOT NULL").collect()) == sorted(set(low.values()))
+    assert distinct.filter("doc_id IS NULL").count() == good.filter("doc_id IS NULL").count()
     cut = p.cut_repeats(spark, distinct, SF).persist()
-    assert cut.count() == distinct.count()
-    want = brute_removed([(r.text or "").encode() for r in distinct.collect()], 400)
-    kept = {r.doc_id: r.text for r in cut.collect()}
-    for row, (_, removed, _, digest) in zip(distinct.collect(), want):
-        if row.doc_id is not None and not removed:
-            assert kept[row.doc_id] == row.text and hashlib.sha256(row.text.encode()).hexdigest() == digest
-        elif row.doc_id is not None:
-            assert len(kept[row.doc_id].encode()) <= len(row.text.encode()) - removed
-    mixed = p.interleave(spark, cut, SF)
+    before, after = distinct.collect(), cut.collect()
+    want = brute_passages([r.text for r in before], p.PASSAGE_WORDS)
+    assert sorted((r.doc_id is None, r.doc_id, (r.text or "").encode().split()) for r in after if r.doc_id is not None) == sorted(
+        (r.doc_id is None, r.doc_id, left) for r, (_, _, left) in zip(before, want) if r.doc_id is not None)
+    assert len(after) == len(before) and any(gone for _, gone, _ in want)
+    kept = {r.doc_id: r for r in after}
+    assert all(kept[r.doc_id] == r for r, (_, gone, _) in zip(before, want) if r.doc_id is not None and not gone)
+    assert all(r.n_chars == len(r.text) for r, (_, gone, _) in zip([kept[b.doc_id] for b in before], want) if gone and r.doc_id is not None)
+    mixed = stored(p.interleave(spark, cut, SF), "mixed")
     assert mixed.columns == list(p.COLUMNS) and mixed.count() == cut.count()
-    packed = p.pack(spark, mixed, SF)
-    assert packed.agg(F.sum("length")).first()[0] == sum(len(i) + 1 for i in encoded("word_bpe_49k.json", [r.text for r in cut.collect()]))
+    packed = p.pack(spark, mixed, SF).persist()
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(i) + 1 for i in encoded("word_bpe_49k.json", [r.text for r in after]))
+    # the order that the mixing stage hands over is that of the sequences
+    other = stored(mixed.repartitionByRange(3, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), "other")
+    moved = p.pack(spark, other, SF)
+    places = lambda df: sorted(map(repr, df.select("doc_id", "piece", "sequence_id").collect()))
+    assert moved.count() == packed.count() and places(moved) != places(packed)
     for _, stage in p.STAGES:
         assert stage(spark, docs.filter("false"), SF).count() == 0
 
