@@ -399,14 +399,17 @@ def _coded(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            if len(known) > 500_000:
-                known = {}
-            made = []
-            for body in batch.column("body").to_pylist():
-                words = body.split()  # at ASCII white space, as bytes
-                known |= {w: xxhash.xxh64_digest(w) for w in set(words) - known.keys()}
-                made.append(b"".join([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(made, pa.binary())], ["doc_id", "th", "body"])
+            for part in slices(batch, "body"):
+                if len(known) > 50_000:
+                    known = {}
+                made = []
+                for body in part.column("body").to_pylist():
+                    words = body.split()  # at ASCII white space, as bytes
+                    for w in set(words):
+                        if w not in known:
+                            known[w] = xxhash.xxh64_digest(w)
+                    made.append(b"".join([known[w] for w in words]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(made, pa.binary())], ["doc_id", "th", "body"])
 
     return docs.mapInArrow(run, "doc_id long, th long, body binary")
 
