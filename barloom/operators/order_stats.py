@@ -1,4 +1,4 @@
-"""Exact ranks in long rolling frames.
+"""Exact ranks in long rolling frames, and the next value above among those known by a time.
 
 A series is cut into chunks of equal row count, each with the rows of the frame before it. In a chunk the values become
 ranks, and a wavelet matrix of them (one pass of bits per level, with running counts) tells for all rows at once how many of
@@ -34,6 +34,35 @@ def counts_below(rank: np.ndarray, start: np.ndarray, stop: np.ndarray, limit: n
     return below
 
 
+def kth_smallest(rank: np.ndarray, start: np.ndarray, stop: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest (from 0) of rank[start:stop], for each query; k < stop - start."""
+    out = np.zeros(len(k), np.int64)
+    row, lo, hi, k = rank, start, stop, k.copy()
+    for level in range(max(1, int(rank.max(initial=0)).bit_length()) - 1, -1, -1):
+        one = (row >> level) & 1
+        zeros = np.concatenate(([0], np.cumsum(1 - one)))
+        lo0, hi0 = zeros[lo], zeros[hi]
+        up = k >= hi0 - lo0
+        k -= np.where(up, hi0 - lo0, 0)
+        out |= up.astype(np.int64) << level
+        lo, hi = np.where(up, int(zeros[-1]) + lo - lo0, lo0), np.where(up, int(zeros[-1]) + hi - hi0, hi0)
+        row = np.concatenate((row[one == 0], row[one == 1]))
+    return out
+
+
+def next_above(value: np.ndarray, known: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The smallest value above x among those known up to `at`, for each query; NaN if there is none."""
+    order = np.argsort(known, kind="stable")
+    values, rank = np.unique(value[order], return_inverse=True)
+    stop = np.searchsorted(known[order], at, side="right")
+    start = np.zeros(len(x), np.int64)
+    below = counts_below(rank, start, stop, np.searchsorted(values, x, side="right"))
+    out = np.full(len(x), np.nan)
+    has = np.flatnonzero(below < stop)
+    out[has] = values[kth_smallest(rank, start[has], stop[has], below[has])]
+    return out
+
+
 def frame_places(x: np.ndarray, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(smaller, equal, known) values in the n rows that end with each row; unknown ones do not count."""
     rank = np.empty(len(x), np.int64)

@@ -19,7 +19,7 @@ from barloom.plans.registry import query
 from barloom.plans.signals import CONF, ROLE, STABLE, hit_sql
 from barloom.plans.text import SCORED, TOPIC_CONTEXTS, TOPICS
 from barloom.plans.views import O, SIG, ladder_sql, map_sql, rnd, roll
-from barloom.plans.windows import LEVELS_SQL, _pos_sql
+from barloom.plans.windows import LEVELS_HISTORY_SQL, LEVELS_SQL, _pos_sql
 from barloom.session import stored
 from barloom.sources.readers import read_latest
 
@@ -263,6 +263,12 @@ def technical_levels(spark, sf):
     return L.technical_levels(V.bars(spark, sf)).select("symbol", *[rnd(c).alias(c) for c in _TK])
 
 
+@query("lv_3_technical_levels_history", f"WITH {V.BARS}, {LEVELS_HISTORY_SQL}, tl0 AS (SELECT symbol, date, {', '.join(f'{v} AS {k}' for k, v in _TL.items())} FROM bars) "
+       f"SELECT symbol, date, {', '.join(f'round({c}, 6) AS {c}' for c in _TK)} FROM tl0 JOIN lv USING (symbol, date)")
+def technical_levels_history(spark, sf):
+    return L.technical_levels_history(V.bars(spark, sf)).select("symbol", "date", *[rnd(c).alias(c) for c in _TK])
+
+
 LV4 = f"""{V.MACRO}, {HOUT}, {V.mom_sql('bars')}, {ATR}, {TECH},
   fq AS (SELECT symbol, quantile_cont(forward_return, 0.5) AS med0, quantile_cont(forward_return, 0.25) AS p250, quantile_cont(forward_return, 0.75) AS p750 FROM ho WHERE horizon = 30 GROUP BY symbol, date
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions import rolling as W
 from barloom.functions.scalar import clip, ladder
 from barloom.operators.chunking import chunked, drop_halo, number_rows, running_total
-from barloom.operators.levels import nearest_levels, swing_points
+from barloom.operators.levels import nearest_levels, nearest_levels_history, swing_points
 from barloom.operators.order_stats import rank_pct_long
 from barloom.operators.pairs import pair_rows
 from barloom.operators.ranking import top_per_key
@@ -216,6 +216,18 @@ def nearest_level(spark, sf):
     return nearest_levels(_b(spark, sf))
 
 
+LEVELS_HISTORY_SQL = LEVELS_SQL.split(",\n  cur AS")[0] + """, lv AS (SELECT a.symbol, a.date, a.close AS current,
+   coalesce(min(CASE WHEN s.close = s.mx AND s.close > a.close THEN s.close END), max(a.hi)) AS nearest_resistance,
+   coalesce(max(CASE WHEN s.close = s.mn AND s.close < a.close THEN s.close END), max(a.lo)) AS nearest_support
+   FROM (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) AS hi, min(close) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) AS lo FROM sw) a
+   LEFT JOIN sw s ON s.symbol = a.symbol AND s.rn > 5 AND s.rn <= a.rn - 5 GROUP BY 1, 2, 3)"""
+
+
+@query("wn_21_nearest_level_history", f"{B}, {LEVELS_HISTORY_SQL} SELECT * FROM lv")
+def nearest_level_history(spark, sf):
+    return nearest_levels_history(_b(spark, sf))
+
+
 @query("wn_22_accum_divergence", f"""WITH {V.WRET}, a AS (SELECT date, {_pos_sql('p1', 252, by=None)} AS pos, ({roll('avg', 'r1', 10, by=None)}) * 252 AS mom10,
    ({roll('avg', 'r1', 20, by=None)}) * 252 - (-(p5 / lag(p5, 20) OVER (ORDER BY date) - 1) * 100) AS dv FROM wret),
   b AS (SELECT date, pos - lag(pos, 10) OVER (ORDER BY date) + mom10 * 10 AS ad, dv FROM a)

@@ -1,11 +1,14 @@
 """Ranks in long rolling frames against brute force, over chunks, with ties and missing values."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import rolling as W
-from barloom.operators.order_stats import counts_below, frame_places, rank_pct_long
+from barloom.operators.levels import nearest_levels_history
+from barloom.operators.order_stats import counts_below, frame_places, kth_smallest, next_above, rank_pct_long
 
 
 def test_counts_below():
@@ -51,3 +54,34 @@ def test_no_frame_is_collected(spark):
 
     p = all_queries()[0]["wn_13_rank_long_ticks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in p and "FlatMapGroupsInArrow" in p
+
+
+def test_kth_smallest_and_next_above():
+    r = np.random.default_rng(4)
+    rank = r.integers(0, 40, 300)
+    a = r.integers(0, 250, 200)
+    b = a + r.integers(1, 50, 200)
+    k = (r.random(200) * (b - a)).astype(np.int64)
+    assert kth_smallest(rank, a, b, k).tolist() == [int(np.sort(rank[i:j])[n]) for i, j, n in zip(a, b, k)]
+    value, known = r.integers(0, 30, 120).astype(float), r.integers(0, 50, 120)
+    x, at = r.integers(-1, 31, 400).astype(float), r.integers(-1, 55, 400)
+    want = [min(value[(value > v) & (known <= t)], default=np.nan) for v, t in zip(x, at)]
+    assert np.array_equal(next_above(value, known, x, at), want, equal_nan=True)
+
+
+@pytest.mark.parametrize("most", [7, 40, 100_000])
+def test_levels_of_every_row_are_those_of_the_rows_up_to_it(spark, most):
+    r = np.random.default_rng(5)
+    path = {"a": np.round(100 + np.cumsum(r.normal(size=120)), 1), "b": np.full(20, 5.0), "c": np.array([3.0])}
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(int(i))
+    rows = [(s, day(i), float(v)) for s, values in path.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double")
+    got = {(r.symbol, r.date): tuple(r[2:]) for r in nearest_levels_history(df, lookback=30, most_rows=most).collect()}
+    want = {}
+    for s, values in path.items():
+        for t, v in enumerate(values):
+            highs = [values[i] for i in range(5, t - 4) if values[i] == values[i - 5 : i + 5].max() and values[i] > v]
+            lows = [values[i] for i in range(5, t - 4) if values[i] == values[i - 5 : i + 5].min() and values[i] < v]
+            near = values[max(0, t - 29) : t + 1]
+            want[s, day(t)] = (v, min(highs, default=near.max()), max(lows, default=near.min()))
+    assert got == want
