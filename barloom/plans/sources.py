@@ -11,7 +11,7 @@ from barloom.plans import views as V
 from barloom.plans.registry import query
 from barloom.plans.views import rnd
 from barloom.session import work_dir
-from barloom.sources import readers, sinks
+from barloom.sources import readers, sinks, versions
 
 BAR_COLS = "symbol, date, open, high, low, close, volume"
 
@@ -75,18 +75,18 @@ def latest_available(spark, sf):
 @query("sk_1_write_replace", f"WITH {V.BARS} SELECT {BAR_COLS} FROM bars")
 def write_replace(spark, sf):
     path = work_dir(spark, "replace")
-    sinks.write_replace(V.bars(spark, sf), path)
-    sinks.write_replace(V.bars(spark, sf), path)
-    return spark.read.parquet(path)
+    versions.commit_replace(V.bars(spark, sf).filter("volume > 1"), path)
+    versions.commit_replace(V.bars(spark, sf), path)
+    return versions.read_version(spark, path)
 
 
 @query("sk_2_write_run_date", f"WITH {V.SERIES_M} SELECT series_id, date, value FROM series_m")
 def write_run_date(spark, sf):
     path = work_dir(spark, "run-date")
     s = V.series_m(spark, sf)
-    sinks.write_run_date(s, path)
-    sinks.write_run_date(s.filter(F.col("date") >= "1998-01-01"), path)
-    return spark.read.parquet(path).select("series_id", "date", "value")
+    versions.commit_run_date(s, path)
+    versions.commit_run_date(s.filter(F.col("date") >= "1998-01-01"), path)
+    return versions.read_version(spark, path).select("series_id", "date", "value")
 
 
 @query("sk_3_upsert", f"""WITH {V.SERIES_M} SELECT series_id, date,
@@ -94,10 +94,10 @@ def write_run_date(spark, sf):
 def upsert(spark, sf):
     path = work_dir(spark, "upsert")
     s = V.series_m(spark, sf)
-    sinks.write_run_date(s, path)
+    versions.commit_run_date(s, path)
     new = s.filter(F.col("date") >= "1998-01-01").withColumn("value", F.col("value") + 1.0)
-    sinks.upsert_path(spark, path, new, ["series_id", "date"])
-    return spark.read.parquet(path).select("series_id", "date", "value")
+    versions.commit_upsert(new, path, ["series_id", "date"])
+    return versions.read_version(spark, path).select("series_id", "date", "value")
 
 
 @query("sk_4_export_csv_json", f"""WITH {V.HEADLINES} SELECT doc_id, date, source, base_score FROM headlines""")

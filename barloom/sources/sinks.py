@@ -64,11 +64,9 @@ def upsert_path(spark: SparkSession, path: str, incoming: DataFrame, keys: Seque
     touched = stored.join(incoming.select(partition).distinct(), partition, "left_semi").select(*incoming.columns)
     merged = first_per_key(touched.unionByName(incoming), keys, order) if order else upsert(touched, incoming, keys)
     side = f"{path.rstrip('/')}__merge-{uuid.uuid4().hex}"
-    try:
-        write_replace(merged, side)
-        write_run_date(spark.read.parquet(side), path, partition)
-    finally:
-        _remove(spark, side)
+    write_replace(merged, side)
+    write_run_date(spark.read.parquet(side), path, partition)
+    _remove(spark, side)  # after a failed overwrite it holds the only complete copy
 
 
 def export_csv(df: DataFrame, path: str) -> None:
