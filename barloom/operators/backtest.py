@@ -306,17 +306,56 @@ def ar_sum(h: int, ret: str = "ret") -> Column:
     return h * m + (r - m) * b * F.try_divide(1.0 - F.pow(b, F.lit(float(h))), 1.0 - b)
 
 
-def ar_forecast(df: DataFrame, h: int = 30, n: int = 504) -> DataFrame:
-    """h-step price forecast: predicted returns compounded on the last price."""
-    f = ar_fit(df, n)
-    start = F.struct(F.col("ret").alias("r"), F.lit(1.0).alias("p"))
-    path = F.aggregate(
-        F.sequence(F.lit(1), F.lit(h)), start,
-        lambda s, _: F.struct((F.col("ar_a") + F.col("ar_b") * s.r).alias("r"),
-                              (s.p * (1.0 + F.col("ar_a") + F.col("ar_b") * s.r)).alias("p")),
-        lambda s: s.p,
-    )
-    d = f.withColumn("forecast", F.col("close") * path)
+def ar_fit_p(df: DataFrame, p: int, n: int = 504, ret: str = "ret", by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """AR(p) by least squares over the last n returns: intercept ar_a and slopes ar_b (an array, lag 1 first).
+
+    The covariances of the lags are window aggregates over one frame; the p normal equations are solved by elimination on
+    an array of rows. Missing before n full rows and where the lags are linearly dependent.
+    """
+    names = [f"_x{k}" for k in range(p + 1)]
+    d = df.withColumns({name: F.col(ret) if k == 0 else lag(ret, k, by=by) for k, name in enumerate(names)})
+    whole = F.col(names[0])
+    for name in names[1:]:
+        whole = F.when(F.col(name).isNotNull(), whole)
+    d = d.withColumns({name: F.when(whole.isNotNull(), F.col(name)) for name in reversed(names)})
+    w = frame(n, by)
+    full = F.count("_x0").over(w) >= n
+    cov = {f"_c{i}_{j}": F.covar_pop(names[i], names[j]).over(w) for i in range(p + 1) for j in range(max(i, 1), p + 1)}
+    d = d.withColumns(cov | {f"_m{k}": F.avg(name).over(w) for k, name in enumerate(names)} | {"_full": full})
+
+    def c(i: int, j: int) -> Column:
+        return F.col(f"_c{min(i, j)}_{max(i, j)}")
+
+    rows = F.array(*(F.array(*(c(i, j) for j in range(1, p + 1)), c(0, i)) for i in range(1, p + 1)))
+
+    def eliminate(m: Column, k: Column) -> Column:
+        pivot = F.transform(m[k], lambda x: F.try_divide(x, m[k][k]))
+        return F.transform(m, lambda row, i: F.when(i == k, pivot).otherwise(F.zip_with(row, pivot, lambda x, y: x - row[k] * y)))
+
+    d = d.withColumn("ar_b", F.when(F.col("_full"), F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), rows, eliminate), lambda row: row[p])))
+    d = d.withColumn("ar_b", F.when(~F.exists("ar_b", lambda x: x.isNull() | F.isnan(x)), F.col("ar_b")))
+    means = F.array(*(F.col(f"_m{k}") for k in range(1, p + 1)))
+    fitted = F.aggregate(F.zip_with("ar_b", means, lambda x, m: x * m), F.lit(0.0), lambda s, x: s + x)
+    return d.withColumn("ar_a", F.col("_m0") - fitted).drop(*names, *cov, *(f"_m{k}" for k in range(p + 1)), "_full")
+
+
+def ar_forecast(df: DataFrame, h: int = 30, n: int = 504, p: int = 1, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """h-step price forecast of an AR(p) model: predicted returns compounded on the last price."""
+    if p == 1:
+        f = ar_fit(df, n, by=by)
+        slopes, last = F.array("ar_b"), F.array("ret")
+    else:
+        f = ar_fit_p(df, p, n, by=by).withColumn("_last", F.array("ret", *(lag("ret", k, by=by) for k in range(1, p))))
+        slopes, last = F.col("ar_b"), F.col("_last")
+
+    def step(s: Column, _: Column) -> Column:
+        r = F.aggregate(F.zip_with(slopes, s.last, lambda b, x: b * x), F.col("ar_a"), lambda a, x: a + x)
+        moved = F.transform(F.array(r), lambda x: F.struct(F.slice(F.concat(F.array(x), s.last), 1, p).alias("last"), (s.price * (1.0 + x)).alias("price")))
+        return moved[0]
+
+    start = F.struct(last.alias("last"), F.lit(1.0).alias("price"))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(h)), start, step, lambda s: s.price)
+    d = f.withColumn("forecast", F.col("close") * path).drop("_last")
     pct = (F.col("forecast") - F.col("close")) / F.col("close") * 100.0
     way = F.when(F.col("forecast").isNull(), F.lit(None)).when(F.col("forecast") > F.col("close"), "UP").otherwise("DOWN")
     return d.withColumns({"forecast_pct": pct, "direction": way})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.rolling import block_mean_change, lag, pct_le_full, pct_le_tail, rolling_std, sma
@@ -75,6 +75,15 @@ def gap_fill_stats(gaps: DataFrame, by: Sequence[str] = ("gap_size",), min_n: in
     return g.filter(F.col("n") >= min_n)
 
 
+def fill_rate_before(gaps: DataFrame, by: Sequence[str] = ("symbol", "gap_size"), min_n: int = 5, skip: float = 0.05, date: str = "date") -> DataFrame:
+    """`gaps` with fill_rate: the share of the group's earlier gaps that were filled on their day, from `min_n` of them on."""
+    up = F.col("direction") == "UP"
+    filled = F.when(up, F.col("low") <= F.col("prev_close")).otherwise(F.col("high") >= F.col("prev_close")).cast("double")
+    counted = F.when(F.abs("gap_pct") > skip, filled)
+    before = Window.partitionBy(*by).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    return gaps.withColumn("fill_rate", F.when(F.count(counted).over(before) >= min_n, F.avg(counted).over(before)))
+
+
 def gap_score(df: DataFrame) -> DataFrame:
     """Breakout and trap points from trend, lead market, volatility, flows and fill rate.
 

@@ -308,6 +308,38 @@ def ar_forecast(spark, sf):
     return f.select("symbol", "date", rnd("forecast", 2).alias("forecast"), rnd("forecast_pct", 4).alias("forecast_pct"), "direction")
 
 
+def _ar3_sql(n: int, h: int) -> str:
+    """AR(3) by Cramer's rule, then h predicted returns one by one."""
+    over = w(n)
+    x = ["ret"] + [f"lag(ret, {k}) {O}" for k in (1, 2, 3)]
+    cov = {(i, j): f"CASE WHEN count(x3) {over} >= {n} THEN covar_pop(x{i}, x{j}) {over} END" for i in range(4) for j in range(max(i, 1), 4)}
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+
+    def det(cols: list[list[str]]) -> str:
+        a, b, d = cols
+        return (f"({a[0]} * ({b[1]} * {d[2]} - {b[2]} * {d[1]}) - {b[0]} * ({a[1]} * {d[2]} - {a[2]} * {d[1]}) + {d[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))")
+
+    columns = [[c(i, j) for i in (1, 2, 3)] for j in (1, 2, 3)]
+    right = [c(0, i) for i in (1, 2, 3)]
+    slopes = [f"{det([right if k == j else col for k, col in enumerate(columns)])} / {det(columns)} AS b{j + 1}" for j in range(3)]
+    sql = f"""x0 AS (SELECT symbol, date, close, close / lag(close) {O} - 1 AS ret FROM px), x1 AS (SELECT *, {', '.join(f'{e} AS y{k}' for k, e in enumerate(x))} FROM x0),
+  x2 AS (SELECT *, {', '.join(f'CASE WHEN y3 IS NOT NULL THEN y{k} END AS x{k}' for k in range(4))} FROM x1),
+  x3 AS (SELECT *, {', '.join(f'{e} AS c{i}{j}' for (i, j), e in cov.items())}, {', '.join(f'avg(x{k}) {over} AS m{k}' for k in range(4))} FROM x2),
+  x4 AS (SELECT *, {', '.join(slopes)} FROM x3), r0 AS (SELECT symbol, date, close, b1, b2, b3, m0 - b1 * m1 - b2 * m2 - b3 * m3 AS a, y0 AS u1, y1 AS u2, y2 AS u3, 1.0::DOUBLE AS p FROM x4)"""
+    for k in range(1, h + 1):
+        sql += f""",
+  r{k} AS (SELECT symbol, date, close, b1, b2, b3, a, u0 AS u1, u1 AS u2, u2 AS u3, p * (1 + u0) AS p FROM (SELECT *, a + b1 * u1 + b2 * u2 + b3 * u3 AS u0 FROM r{k - 1}))"""
+    return sql
+
+
+@query("bt_16_ar_forecast_p", f"""WITH {V.PX}, {_ar3_sql(252, 5)} SELECT symbol, date, round(a, 7) AS ar_a, round(b1, 5) AS b1, round(b2, 5) AS b2, round(b3, 5) AS b3, round((p - 1) * 100, 4) AS forecast_pct,
+  CASE WHEN p IS NULL THEN NULL WHEN p > 1 THEN 'UP' ELSE 'DOWN' END AS direction FROM r5""")
+def ar_forecast_p(spark, sf):
+    f = B.ar_forecast(_px_ret(spark, sf), 5, 252, 3)
+    return f.select("symbol", "date", rnd("ar_a", 7).alias("ar_a"), *[rnd(F.col("ar_b")[k], 5).alias(f"b{k + 1}") for k in range(3)],
+                    rnd("forecast_pct", 4).alias("forecast_pct"), "direction")
+
+
 @query("bt_17_directional_accuracy", f"""WITH {V.PX}, {ar_sql(252)}, f AS (SELECT *, CASE WHEN count(ret) OVER n = 21 THEN sum(ret) OVER n END AS act, {_SUM.format(h=21)} AS pred FROM ar
    WINDOW n AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING)),
   t AS (SELECT *, row_number() {O} AS k FROM f WHERE b IS NOT NULL AND act IS NOT NULL),

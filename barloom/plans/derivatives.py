@@ -161,10 +161,12 @@ def gap_fill_stats(spark, sf):
     return s.withColumns({"fill_rate": rnd("fill_rate"), "avg_cont": rnd("avg_cont")})
 
 
-GSC = f"""{GAPS}, {FILL}, {V.FLOWS}, {V.mom_sql('gb')}, spx AS (SELECT date, CASE WHEN close >= open THEN 'UP' ELSE 'DOWN' END AS sp_dir FROM gb WHERE symbol = '2-HIGH'),
+GSC = f"""{GAPS}, gpf AS (SELECT *, CASE WHEN count(f) OVER b >= 5 THEN avg(f) OVER b END AS fill_rate
+   FROM (SELECT *, CASE WHEN abs(gap_pct) > 0.05 THEN CASE WHEN CASE direction WHEN 'UP' THEN low <= prev_close ELSE high >= prev_close END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS f FROM gp)
+   WINDOW b AS (PARTITION BY symbol, gap_size ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), {V.FLOWS}, {V.mom_sql('gb')}, spx AS (SELECT date, CASE WHEN close >= open THEN 'UP' ELSE 'DOWN' END AS sp_dir FROM gb WHERE symbol = '2-HIGH'),
   vxx AS (SELECT date, (close - 1000) * 4 AS vix FROM gb WHERE symbol = '5-LOW'),
-  gi AS (SELECT gp.symbol, gp.date, direction, gp.gap_size, prev_close, CASE WHEN score > 0.5 THEN 'LONG' WHEN score < -0.5 THEN 'SHORT' ELSE 'NEUTRAL' END AS mt, coalesce(sp_dir, 'UNKNOWN') AS sp, vix, net, fill_rate AS fr FROM gp JOIN mom ON gp.symbol = mom.symbol AND gp.date = mom.date
-   LEFT JOIN spx ON gp.date = spx.date LEFT JOIN vxx ON gp.date = vxx.date LEFT JOIN flows ON gp.date = flows.date LEFT JOIN fs ON gp.symbol = fs.symbol AND gp.gap_size = fs.gap_size),
+  gi AS (SELECT gp.symbol, gp.date, direction, gp.gap_size, prev_close, CASE WHEN score > 0.5 THEN 'LONG' WHEN score < -0.5 THEN 'SHORT' ELSE 'NEUTRAL' END AS mt, coalesce(sp_dir, 'UNKNOWN') AS sp, vix, net, fill_rate AS fr FROM gpf gp JOIN mom ON gp.symbol = mom.symbol AND gp.date = mom.date
+   LEFT JOIN spx ON gp.date = spx.date LEFT JOIN vxx ON gp.date = vxx.date LEFT JOIN flows ON gp.date = flows.date),
   gq AS (SELECT *, CASE WHEN direction = 'UP' THEN 'LONG' ELSE 'SHORT' END AS wy, CASE WHEN vix IS NULL THEN 'UNKNOWN' WHEN vix > 25 THEN 'HIGH' WHEN vix > 20 THEN 'ELEVATED' ELSE 'NORMAL' END AS vr, CASE WHEN net > 0 THEN 'UP' WHEN net < 0 THEN 'DOWN' ELSE 'NONE' END AS fl FROM gi),
   gs AS (SELECT *, CAST(mt IN ('LONG', 'SHORT') AND mt = wy AS INTEGER) + CAST(sp <> 'UNKNOWN' AND sp = direction AS INTEGER) + CAST(vr = 'NORMAL' AS INTEGER) + CAST(fl = direction AS INTEGER) + CAST(coalesce(fr <= 0.65, false) AS INTEGER) AS breakout,
    CAST(mt IN ('LONG', 'SHORT') AND mt <> wy AS INTEGER) + CAST(sp <> 'UNKNOWN' AND sp <> direction AS INTEGER) + CAST(vr = 'HIGH' AS INTEGER) + CAST(fl <> 'NONE' AND fl <> direction AS INTEGER) + CAST(coalesce(fr > 0.65, false) AS INTEGER) AS trap FROM gq),
@@ -175,15 +177,14 @@ def _gap_score(spark, sf):
     from barloom.operators.signals import momentum_score
 
     b = V.bars(spark, sf).withColumns({c: 1000 + F.col(c) / 50000 for c in ("open", "high", "low", "close")})
-    g = M.gap_detect(b)
+    g = M.fill_rate_before(M.gap_detect(b))
     mom = momentum_score(b.select("symbol", "date", "close")).select(
         "symbol", "date", ladder("score", [(">", 0.5, "LONG"), ("<", -0.5, "SHORT")], "NEUTRAL").alias("mtf_trend"))
     sp = b.filter("symbol = '2-HIGH'").select("date", F.when(F.col("close") >= F.col("open"), "UP").otherwise("DOWN").alias("sp_dir"))
     vix = b.filter("symbol = '5-LOW'").select("date", ((F.col("close") - 1000) * 4).alias("vix"))
     fl = V.flows(spark, sf).select("date", F.col("net").alias("flow_net"))
-    stats = M.gap_fill_stats(g, ("symbol", "gap_size")).select("symbol", "gap_size", "fill_rate")
     j = g.join(mom, ["symbol", "date"]).join(sp, "date", "left").join(vix, "date", "left").join(fl, "date", "left")
-    j = j.join(stats, ["symbol", "gap_size"], "left").withColumn("sp_dir", F.coalesce("sp_dir", F.lit("UNKNOWN")))
+    j = j.withColumn("sp_dir", F.coalesce("sp_dir", F.lit("UNKNOWN")))
     return M.gap_score(j)
 
 
