@@ -59,10 +59,15 @@ def mix(
     Reading by (_slot, _place) gives the mixture. Up to the slot where a first source ends, every source is less than one
     block from its share of the slots; then the slots of ended sources stay empty and all other rows follow, so no row is
     lost or repeated. weights (source, w whole number above 0) defaults to `target_weights` of the row counts; a source
-    without a weight is an error of the caller and its rows are left out. Inside a source, rows are in order of the md5
+    without a weight fails the job. Inside a source, rows are in order of the md5
     of doc_id; null doc_ids come last, repeated rows each keep a place of their own. A null source is a source like any
-    other. No rows give no rows. Columns named as the added ones must not exist; all others are passed on.
+    other. No rows give no rows. Columns named as the added ones are refused; all others are passed on.
     """
+    if taken := {"_block", "_release", "_due", "_slot", "_place"} & set(docs.columns):
+        raise ValueError(f"columns of the result exist already: {sorted(taken)}")
+    names = docs.columns
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_in"))
+    doc_id, source = "_id", "_in"
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("rows"))
     weights = target_weights(sizes, alpha, resolution) if weights is None else weights
     table = period(weights).select(F.col("source").alias("_source"), "w", "total", "k", "slot")
@@ -79,11 +84,13 @@ def mix(
     number = F.col("_before") + F.col("_local")
     rows = rows.withColumn("_block", F.floor(number / block_docs)).withColumn("_place", (number % block_docs).cast("int"))
     w = table.select("_source", F.col("w").alias("_w"), F.col("total").alias("_total")).distinct()
-    rows = rows.join(w, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_k", F.col("_block") % F.col("_w"))
+    rows = rows.join(w, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    known = F.when(F.col("_w").isNotNull(), F.col("_w")).otherwise(F.raise_error(F.lit("a source has no weight")))
+    rows = rows.withColumn("_k", F.col("_block") % known)
     table = table.select("_source", F.col("k").alias("_tk"), F.col("slot").alias("_ts"))
     rows = rows.join(table, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_tk")))
     return rows.select(
-        *[F.col(c) for c in docs.columns], "_block",
+        *[F.col(f"_row.`{c}`").alias(c) for c in names], "_block",
         F.floor(F.col("_block") * F.col("_total") / F.col("_w")).alias("_release"),
         F.floor(((F.col("_block") + 1) * F.col("_total") + F.col("_w") - 1) / F.col("_w")).alias("_due"),
         (F.floor(F.col("_block") / F.col("_w")) * F.col("_total") + F.col("_ts")).alias("_slot"), "_place")

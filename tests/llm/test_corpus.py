@@ -581,3 +581,16 @@ def test_signatures_bound_the_difference():
         a, b = both[:n], np.concatenate((both[:shared], both[n : n + m - shared]))
         differ = int(np.bitwise_count((similar.signature(a) ^ similar.signature(b)).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b))
+
+
+def test_mixing_passes_all_rows_and_columns_on(spark):
+    rows = [(i, "ab"[i % 2], i, f"r{i}", 0.5 * i, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _key long, _range string, _local double, w string")
+    got = mixing.mix(df, block_docs=4)
+    assert got.columns[:6] == df.columns and sorted(tuple(r[:6]) for r in got.collect()) == sorted(rows)
+    weights = spark.createDataFrame([("a", 3)], "source string, w long")
+    with pytest.raises(Exception, match="no weight"):
+        mixing.mix(df, weights).collect()
+    assert mixing.mix(df.filter("source = 'a'"), weights).count() == 30
+    with pytest.raises(ValueError):
+        mixing.mix(df.withColumn("_slot", F.lit(1)))
