@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import forward_return
 from barloom.operators import aggregate as G
 from barloom.operators import ranking as R
+from barloom.operators.gram import block_corr
 from barloom.operators.pairs import corr_matrix
 from barloom.operators.text import sentiment_label
 from barloom.plans import views as V
@@ -47,6 +48,24 @@ def corr_matrix_60(spark, sf):
     return corr_matrix(last, [(_R[a], _R[b]) for a, b in V.PAIRS]).withColumn("corr", rnd("corr"))
 
 
+# Weekly quantities of every brand and type.
+MEMBERS = """per_part AS (SELECT l_partkey, CAST(date_trunc('week', CAST(l_shipdate AS DATE)) AS DATE) AS date, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+  mem AS (SELECT p_brand || '/' || p_type AS symbol, date, sum(q) AS q FROM per_part JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+
+
+def _members(spark, sf):
+    li = table(spark, sf, "lineitem")
+    per_part = li.groupBy("l_partkey", F.trunc(F.col("l_shipdate").cast("date"), "week").alias("date")).agg(F.sum("l_quantity").alias("q"))
+    part = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("symbol"))
+    return per_part.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("symbol", "date").agg(F.sum("q").alias("q"))
+
+
+@query("ag_3_corr_members", f"""WITH {MEMBERS} SELECT x.symbol AS a, y.symbol AS b, CAST(count(*) AS BIGINT) AS n,
+  round({CORR.format(x='x.q', y='y.q')}, 6) + 0.0 AS corr FROM mem x JOIN mem y ON x.date = y.date AND x.symbol < y.symbol GROUP BY 1, 2""")
+def corr_members(spark, sf):
+    return block_corr(_members(spark, sf), value="q", block=64).withColumn("corr", rnd("corr") + 0.0)
+
+
 @query("ag_4_full_corr", f"WITH {V.WRET} SELECT round({CORR.format(x='r1', y='r2')}, 6) AS corr FROM wret WHERE r1 IS NOT NULL")
 def full_corr(spark, sf):
     return V.wide_returns(spark, sf).agg(rnd(G.correlation("r1", "r2")).alias("corr"))

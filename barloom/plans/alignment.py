@@ -10,6 +10,7 @@ from barloom.operators.options import strike_pain
 from barloom.operators.pairs import pair_rows
 from barloom.operators.ranking import latest_per_key
 from barloom.operators.similarity import cosine, one_to_all
+from barloom.operators.vintages import known_asof
 from barloom.plans import views as V
 from barloom.plans.registry import query
 from barloom.plans.views import rnd
@@ -44,6 +45,27 @@ def asof_ffill(spark, sf):
     return A.asof_join(b.select("symbol", "date", "close"), _sparse(b), ["carried"])
 
 
+# First prints count the shipments of a month's first 20 days and appear 12 days after the month, the full count after 45.
+PRINTS = """daily AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+  prints AS (SELECT series_id, period, month_end + 12 AS published, early AS value FROM months UNION ALL SELECT series_id, period, month_end + 45, value FROM months)"""
+MONTHS = """months AS (SELECT series_id, CAST(date_trunc('month', date) AS DATE) AS period, last_day(CAST(date_trunc('month', date) AS DATE)) AS month_end,
+  sum(q) FILTER (day(date) <= 20) AS early, sum(q) AS value FROM daily GROUP BY 1, 2, 3)"""
+
+
+@query("al_3_published_asof", f"""WITH {PRINTS.replace("prints AS", MONTHS + ", prints AS")}
+  SELECT d.series_id, d.date, p.value, p.period FROM daily d LEFT JOIN prints p ON p.series_id = d.series_id AND p.published <= d.date
+  QUALIFY row_number() OVER (PARTITION BY d.series_id, d.date ORDER BY p.period DESC, p.published DESC) = 1""")
+def published_asof(spark, sf):
+    li = table(spark, sf, "lineitem")
+    daily = li.groupBy(F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("q"))
+    period = F.trunc("date", "month")
+    months = daily.groupBy("series_id", period.alias("period")).agg(F.sum(F.when(F.dayofmonth("date") <= 20, F.col("q"))).alias("early"), F.sum("q").alias("value"))
+    out = F.array(F.struct(F.date_add(F.last_day("period"), 12).alias("published"), F.col("early").alias("value")),
+                  F.struct(F.date_add(F.last_day("period"), 45).alias("published"), F.col("value")))
+    prints = months.select("series_id", "period", F.explode(out).alias("_o")).select("series_id", "period", "_o.*")
+    return known_asof(daily.select("series_id", "date"), prints, ["value"], by=["series_id"], keep_period="period")
+
+
 @query("al_4_asof_ffill_bfill", f"""WITH {V.BARS}, {SPARSE},
   j AS (SELECT b.symbol, b.date, s.carried FROM bars b ASOF LEFT JOIN sparse s ON b.symbol = s.symbol AND b.date >= s.date)
   SELECT j.symbol, j.date, coalesce(j.carried, f.carried) AS carried
