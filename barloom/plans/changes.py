@@ -102,6 +102,19 @@ def stream_alerts(spark, sf):
     return a.select("symbol", S.utc_wall(F.timestamp_micros("at")).cast("date").alias("day"), "prev_label", "label")
 
 
+@query("sm_2_ordered_alerts", """WITH u AS (SELECT CAST(user_id AS VARCHAR) AS symbol, ts, max(CASE WHEN value > 20 THEN 'HIGH' ELSE 'LOW' END) AS label FROM events
+   WHERE epoch_us(ts) <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events) GROUP BY 1, 2),
+  l AS (SELECT *, lag(label) OVER (PARTITION BY symbol ORDER BY ts) AS prev_label FROM u)
+  SELECT symbol, epoch_us(ts) AS at, prev_label, label FROM l WHERE prev_label <> label""")
+def stream_ordered_alerts(spark, sf):
+    S.use_rocksdb(spark)
+    e = S.read_stream(spark, f"{sf}/events.parquet").select("user_id", "ts", "value")
+    alerts = S.stream_ordered_alerts(e, F.when(F.col("value") > 20, "HIGH").otherwise("LOW"), symbol="user_id")
+    out = work_dir(spark, "ordered-alerts")
+    S.run_to_parquet(alerts, out, work_dir(spark, "ordered-alerts-cp"))
+    return spark.read.parquet(out).filter("NOT late").drop("late")
+
+
 @query("sm_3_stream_topic_counts", f"""WITH {LOW}, d AS (SELECT date, {', '.join(f'sum({occ_sql(k)}) AS {n}' for n, k in TOPICS.items())} FROM low GROUP BY 1),
   ws AS (SELECT DISTINCT d.date + CAST(o AS INTEGER) AS window_end FROM d, generate_series(1, 7) g(o)), mx AS (SELECT max(date) - 1 AS wm FROM d),
   x AS (SELECT window_end, {', '.join(f'CAST(sum({n}) AS BIGINT) AS {n}' for n in TOPICS)} FROM ws JOIN d ON d.date >= window_end - 7 AND d.date < window_end, mx WHERE window_end <= wm GROUP BY 1)

@@ -114,11 +114,74 @@ def stream_alerts(bars: DataFrame, label: Column, symbol: str = "symbol") -> Dat
         _LabelChange(), "symbol string, at long, prev_label string, label string", "Append", "None")
 
 
+class _OrderedLabelChange(StatefulProcessor):
+    """Holds rows back until the watermark passes them, then compares labels in order of event time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "label string, at long")
+        self.waiting = handle.getListState("waiting", "at long, label string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))[["at", "label"]]
+        known = timerValues.getCurrentWatermarkInMs() * 1000
+        late = batch[batch["at"] <= known]
+        batch = batch[batch["at"] > known]
+        if len(batch):
+            self.waiting.appendList(list(batch.itertuples(index=False, name=None)))
+            self.handle.registerTimer(_milliseconds(batch["at"].min()))
+        yield _alerts(key[0], late.assign(prev_label=None, late=True))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame(list(self.waiting.get()), columns=["at", "label"])
+        due, rest = held[held["at"] <= known], held[held["at"] > known]
+        if not len(due):  # an earlier timer of this batch has taken them
+            return
+        label, at = self.last.get() if self.last.exists() else (None, None)
+        due = due.groupby("at", as_index=False)["label"].max()  # in order of time
+        labels = pd.concat([pd.Series([label], dtype=object), due["label"]], ignore_index=True)
+        due = due.assign(prev_label=labels.shift().iloc[1:].to_numpy(), late=False)
+        self.last.update((due["label"].iloc[-1], int(due["at"].iloc[-1])))
+        if len(rest):
+            self.waiting.put(list(rest.itertuples(index=False, name=None)))
+            self.handle.registerTimer(_milliseconds(rest["at"].min()))
+        else:
+            self.waiting.clear()
+        yield _alerts(key[0], due[due["prev_label"].notna() & (due["prev_label"] != due["label"])])
+
+    def close(self) -> None:
+        pass
+
+
+def _milliseconds(at: int) -> int:
+    """First whole millisecond at or after a time in microseconds."""
+    return -(-int(at) // 1000)
+
+
+def _alerts(symbol: str, rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.assign(symbol=symbol)[["symbol", "at", "prev_label", "label", "late"]]
+
+
+def stream_ordered_alerts(rows: DataFrame, label: Column, symbol: str = "symbol", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Label changes per symbol in order of event time, for rows that arrive in any order.
+
+    A row waits until the watermark (newest time seen less `delay`) has passed it, so the alerts do not depend on how the
+    input is cut into batches; state is the last label and the rows of the last `delay`. Of rows with one time the greatest
+    label counts; rows without label, symbol or time take no part. A row that comes behind the watermark changes nothing:
+    Spark's operator drops and counts it (numRowsDroppedByWatermark) or, between two watermarks, it comes out marked `late`.
+    """
+    timed = with_event_time(rows.withColumn("_label", label), ts, delay).na.drop(subset=["_label", symbol, ts])
+    labelled = timed.select(F.col(symbol).cast("string").alias("symbol"), F.col(ts), F.unix_micros(ts).alias("at"), F.col("_label").alias("label"))
+    return labelled.groupBy("symbol").transformWithStateInPandas(
+        _OrderedLabelChange(), "symbol string, at long, prev_label string, label string, late boolean", "Append", "EventTime")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State provider that `stream_alerts` needs; call before the query starts."""
+    """State provider that `stream_alerts` and `stream_ordered_alerts` need; call before the query starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
