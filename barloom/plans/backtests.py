@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import normalise_pm1, pct_change, range_position, row_no, sma, zscore
 from barloom.operators import backtest as B
 from barloom.operators.aggregate import run_summary as run_summary_op
+from barloom.operators.increments import read_results, run_increment
 from barloom.operators.signals import hit_rate, momentum_score, score_to_signal
 from barloom.plans import views as V
 from barloom.plans.registry import query
 from barloom.plans.signals import hit_sql
 from barloom.plans.views import O, SIG, clip_sql, corr_sql, rnd, roll, w
 from barloom.plans.windows import _norm_sql, _pos_sql
-from barloom.session import stored
+from barloom.session import stored, work_dir
 
 
 def scores(spark, sf):
@@ -61,6 +62,23 @@ def strategy_returns(spark, sf):
     return r.select("symbol", "date", "position", "trade", rnd("ret").alias("ret"), rnd("strat_ret").alias("strat_ret"))
 
 
+@query("bt_2_daily_increments", f"""{ST} SELECT symbol, date, score, position, trade, round(strat_ret, 6) AS strat_ret,
+  round(product(1 + coalesce(strat_ret, 0)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS equity,
+  round(max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 4) AS high FROM st""")
+def daily_increments(spark, sf):
+    """History, then 20 days at once, then the last day; each run reads its days and the state alone."""
+    px = stored(V.px(spark, sf).select("symbol", "date", "close", F.year("date").alias("year")), "px")
+    days = [r[0] for r in px.select("date").distinct().orderBy(F.desc("date")).limit(22).collect()]  # the newest dates
+    cuts = [days[-1], days[1], days[0]]
+    path = work_dir(spark, "increments")
+    grow = {"equity": ("product", 1 + F.coalesce("strat_ret", F.lit(0.0))), "high": ("max", F.col("close"))}
+    for before, last in zip([None, *cuts], cuts):
+        rows = px.filter(F.col("date") <= F.lit(last)) if before is None else px.filter((F.col("date") > F.lit(before)) & (F.col("date") <= F.lit(last)))
+        run_increment(rows, path, lambda d: B.strategy_returns(momentum_score(d)), 201, grow, partition="year")
+    out = read_results(spark, path)
+    return out.select("symbol", "date", "score", "position", "trade", rnd("strat_ret").alias("strat_ret"), rnd("equity").alias("equity"), rnd("high", 4).alias("high"))
+
+
 @query("bt_3_perf_metrics", f"""{ST}, {perf_sql('st', 'strat_ret')}, tr AS (SELECT symbol, CAST(count(*) FILTER (trade) AS BIGINT) AS trades, round(avg(position) * 100, 4) AS exposure FROM st GROUP BY 1)
   SELECT * FROM pf JOIN tr USING (symbol)""")
 def perf_metrics(spark, sf):
