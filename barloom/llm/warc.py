@@ -26,8 +26,10 @@ _HEAD = re.compile(rb"WARC/1\.[01]\r\n")
 RECORDS = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, at long, size long"
 
 
-def _folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if re.match(r"\w+:/", uri) else f"file://{uri}")
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme Spark gives it, so that tasks open the same folder as Spark's own writers."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
 
 
 def decide(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -72,6 +74,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     in body, else each is judged by its own body. A retried task writes an archive of a new name, and only the archives
     of successful attempts are in the manifest. No rows give no archives.
     """
+    path = _qualified(pages.sparkSession, path)
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(body).cast("binary"), F.lit(b"")).alias("body"))
@@ -82,7 +85,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name, size, out = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz", 0, None
-        store, folder = _folder(path)
+        store, folder = fs.FileSystem.from_uri(path)
         try:
             for batch in batches:
                 for part in slices(batch, "body"):
@@ -148,8 +151,10 @@ def read_warc(manifest: DataFrame, path: str, split_bytes: int = 4 << 20, payloa
 
     The digest of a response is taken from its payload; a revisit has its header's digest and length, and no payload.
     """
+    path = _qualified(manifest.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _folder(path)
+        store, folder = fs.FileSystem.from_uri(path)
         schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("archive", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
         for batch in batches:
             for name, size, start in zip(*(batch.column(c).to_pylist() for c in ("archive", "bytes", "start")), strict=True):
