@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +35,30 @@ def _word(ch: str) -> bool:
     return ch.isalnum() or ch == "_"
 
 
+#: Bytes of text that a task turns into Python strings at a time.
+SLICE_BYTES = 2 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Cut an array of texts so that a piece holds about SLICE_BYTES (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, seen = 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, seen + SLICE_BYTES, side="right")))
+        yield texts.slice(start, stop - start)
+        start, seen = stop, int(ends[stop - 1])
+
+
 def _counter(keywords: Sequence[str], word_boundary: bool = False):
     """Counts of all keywords in one pass over each text; the automaton is built once per task.
 
     Occurrences of a keyword do not overlap each other. With word_boundary an occurrence must not touch a letter, digit
-    or underscore on either side, whatever characters the keyword itself has.
+    or underscore on either side, whatever characters the keyword itself has. A batch is read in pieces of bounded bytes,
+    so a task holds few texts and counts as Python objects, however many rows its batch has.
     """
 
-    @F.pandas_udf("array<int>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick  # on the executors, see requirements.txt
 
         automaton = ahocorasick.Automaton()
@@ -48,9 +66,7 @@ def _counter(keywords: Sequence[str], word_boundary: bool = False):
             automaton.add_word(k, (i, len(k)))
         automaton.make_automaton()
 
-        def one(text: str | None) -> list[int] | None:
-            if text is None:
-                return None
+        def one(text: str) -> list[int]:
             n, last = [0] * len(keywords), [-1] * len(keywords)
             for end, (i, size) in automaton.iter(text):
                 start = end - size + 1
@@ -63,7 +79,15 @@ def _counter(keywords: Sequence[str], word_boundary: bool = False):
             return n
 
         for batch in batches:
-            yield batch.map(one)
+            found = np.zeros((len(batch), len(keywords)), np.int32)
+            row = 0
+            for piece in _slices(batch):
+                for text in piece.to_pylist():
+                    if text is not None:
+                        found[row] = one(text)
+                    row += 1
+            at = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(keywords))
+            yield pa.ListArray.from_arrays(at, pa.array(found.ravel()), mask=batch.is_null())
 
     return count
 
@@ -98,6 +122,10 @@ def _words(rules: Rules) -> list[str]:
     return [k for kws in rules.values() for k in kws]
 
 
+def _context_words(contexts: Mapping[str, tuple[Sequence[str], Sequence[str], float]]) -> list[str]:
+    return [k for bull, bear, _ in contexts.values() for k in (*bull, *bear)]
+
+
 def with_base_score(df: DataFrame, score: Callable[[pd.Series], pd.Series], text: str = "text",
                     out: str = "base_score") -> DataFrame:
     """Hook for an own sentiment model: `score` maps a batch of texts to numbers."""
@@ -109,27 +137,37 @@ def with_base_score(df: DataFrame, score: Callable[[pd.Series], pd.Series], text
     return df.withColumn(out, run(F.col(text)))
 
 
-def tag_topics(df: DataFrame, rules: Rules, text: str = "text", default: str = "General") -> DataFrame:
-    """Add `tags` (every topic with a keyword in the text, rule order) and `primary_tag`."""
-    hits = Hits(df, _words(rules), text)
+def tag_topics(df: DataFrame, rules: Rules, text: str = "text", default: str = "General", hits: Hits | None = None) -> DataFrame:
+    """Add `tags` (every topic with a keyword in the text, rule order) and `primary_tag`.
+
+    Where `df` has the counts of `hits` already, the texts are not read again and the counts stay.
+    """
+    counted, hits = hits is not None, hits or Hits(df, _words(rules), text)
     found = F.array_compact(F.array(*[
         F.when(hits.any(kws), F.lit(topic)) for topic, kws in rules.items()
     ]))
-    tagged = hits.df.withColumn("tags", found).drop("_n")
+    tagged = df.withColumn("tags", found) if counted else hits.df.withColumn("tags", found).drop("_n")
     tags = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit(default)))
     return tagged.withColumn("tags", tags).withColumn("primary_tag", F.element_at("tags", 1))
 
 
 def context_score(df: DataFrame, contexts: Mapping[str, tuple[Sequence[str], Sequence[str], float]],
                   text: str = "text", base: str = "base_score", topic: str = "primary_tag",
-                  out: str = "score") -> DataFrame:
-    """base + step * (bullish hits - bearish hits) of the row's topic, clipped to ±1, 4 decimals."""
-    hits = Hits(df, [k for bull, bear, _ in contexts.values() for k in (*bull, *bear)], text)
+                  out: str = "score", hits: Hits | None = None) -> DataFrame:
+    """base + step * (bullish hits - bearish hits) of the row's topic, clipped to ±1, 4 decimals. `hits` as in `tag_topics`."""
+    counted, hits = hits is not None, hits or Hits(df, _context_words(contexts), text)
     adj = F.lit(0.0)
     for name, (bull, bear, step) in contexts.items():
         net = hits.matched(bull) - hits.matched(bear)
         adj = F.when(F.col(topic) == name, net * step).otherwise(adj)
-    return hits.df.withColumn(out, F.round(clip(F.col(base) + adj, -1, 1), 4)).drop("_n")
+    score = F.round(clip(F.col(base) + adj, -1, 1), 4)
+    return df.withColumn(out, score) if counted else hits.df.withColumn(out, score).drop("_n")
+
+
+def tag_and_score(df: DataFrame, rules: Rules, contexts: Mapping[str, tuple[Sequence[str], Sequence[str], float]], text: str = "text") -> DataFrame:
+    """`tag_topics` and `context_score` on one reading of the texts: their keywords are counted together."""
+    hits = Hits(df, [*_words(rules), *_context_words(contexts)], text)
+    return context_score(tag_topics(hits.df, rules, text, hits=hits), contexts, text, hits=hits).drop("_n")
 
 
 def sentiment_label(score: str | Column, cut: float = 0.05) -> Column:

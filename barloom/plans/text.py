@@ -57,7 +57,7 @@ def _tagged(spark, sf):
 
 
 def _scored(spark, sf):
-    return T.context_score(_tagged(spark, sf), TOPIC_CONTEXTS)
+    return T.tag_and_score(V.headlines(spark, sf), TOPICS, TOPIC_CONTEXTS)
 
 
 @query("tx_1_tag_topics", f"WITH {TAGGED} SELECT doc_id, array_to_string(tags, ',') AS tags, tags[1] AS primary_tag FROM tg")
@@ -86,8 +86,8 @@ _DEF = V.clip_sql("base_score + CASE m WHEN 'General' THEN 0.0 " + " ".join(
 
 @query("tx_2_market_context_score", f"WITH {LOW}, mk AS (SELECT *, ({_MK})[1] AS m FROM low) SELECT doc_id, m AS market, round({_DEF}, 4) AS score FROM mk")
 def market_context_score(spark, sf):
-    t = T.tag_topics(V.headlines(spark, sf), D.MARKET_KEYWORDS)
-    return T.context_score(t, D.CONTEXTS).select("doc_id", F.col("primary_tag").alias("market"), "score")
+    t = T.tag_and_score(V.headlines(spark, sf), D.MARKET_KEYWORDS, D.CONTEXTS)
+    return t.select("doc_id", F.col("primary_tag").alias("market"), "score")
 
 
 def label_sql(cut: float) -> str:

@@ -6,6 +6,7 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,22 @@ def test_dedupe_and_calendar(spark):
 def test_latest_per_key(spark):
     d = series(spark, [1, 2, 3]).unionByName(series(spark, [5, 4], "B"))
     assert {(r["symbol"], r["close"]) for r in R.latest_per_key(d, ["symbol"]).collect()} == {("A", 3.0), ("B", 4.0)}
+
+
+def test_keywords_of_tags_and_scores_are_counted_in_one_reading(spark):
+    rules = {"Oil": ["oil"], "Gold": ["gold"]}
+    contexts = {"Gold": (["rally"], ["war"], 0.1), "General": (["gold"], ["oil"], 0.2)}
+    rows = [(1, "Gold rally", 0.2), (2, None, 0.1), (3, "gold war war", 0.0), (4, "oil war", 0.5), (5, "", None)]
+    df = spark.createDataFrame(rows, "id int, text string, base_score double")
+    one = T.tag_and_score(df, rules, contexts)
+    assert one.columns == [*df.columns, "tags", "primary_tag", "score"]
+    assert one.collect() == T.context_score(T.tag_topics(df, rules), contexts).collect()
+    assert one._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_texts_become_strings_in_pieces_of_bounded_bytes():
+    texts = pa.array(["x" * (T.SLICE_BYTES // 4), None, "", "ä" * T.SLICE_BYTES] * 5 + [None])
+    for given in (texts, texts.slice(3, 9), texts.slice(0, 0)):
+        cut = list(T._slices(given))
+        assert [x for c in cut for x in c.to_pylist()] == given.to_pylist()
+        assert all(len(c) == 1 or sum(len((x or "").encode()) for x in c.to_pylist()) <= T.SLICE_BYTES for c in cut)
