@@ -76,7 +76,7 @@ def frame_places(x: np.ndarray, known: np.ndarray, n: int) -> tuple[np.ndarray,
     return less, upto - less, seen[stop] - seen[start]
 
 
-def rolling_places(df: DataFrame, x: str, n: int, keys: Sequence[str], order: Sequence[str], bucket: Column, chunk_rows: int = 1_000_000) -> DataFrame:
+def rolling_places(df: DataFrame, x: str, n: int, keys: Sequence[str], order: Sequence[str], bucket: Column, chunk_rows: int = 250_000) -> DataFrame:
     """`df` with less, same and known: how many of the last n values (the own one included) are smaller than, equal to and not
     missing beside x. Of a row with a missing x, less and same are missing. `bucket` as in `number_rows`; the order is
     total. Further columns pass through unread."""
@@ -99,7 +99,7 @@ def rolling_places(df: DataFrame, x: str, n: int, keys: Sequence[str], order: Se
 
 
 def rank_pct_long(df: DataFrame, x: str, n: int, keys: Sequence[str], order: Sequence[str], bucket: Column, min_periods: int | None = None,
-                  chunk_rows: int = 1_000_000) -> DataFrame:
+                  chunk_rows: int = 250_000) -> DataFrame:
     """`df` with rank_pct (average-tie percentile rank of x in the last n values, `min_periods` of them known), pct_lt and
     pct_le (shares smaller and up to x); the values of `rank_pct_rolling`, `pct_lt_tail` and `pct_le_tail`."""
     d = rolling_places(df, x, n, keys, order, bucket, chunk_rows)

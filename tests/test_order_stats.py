@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import order_stats
 from barloom.functions import rolling as W
 from barloom.operators.levels import nearest_levels_history
 from barloom.operators.order_stats import counts_below, frame_places, kth_smallest, next_above, rank_pct_long
@@ -85,3 +86,16 @@ def test_levels_of_every_row_are_those_of_the_rows_up_to_it(spark, most):
             near = values[max(0, t - 29) : t + 1]
             want[s, day(t)] = (v, min(highs, default=near.max()), max(lows, default=near.min()))
     assert got == want
+
+
+def test_default_chunks_are_small_and_keep_their_frames(spark):
+    import inspect
+
+    for f in (order_stats.rolling_places, order_stats.rank_pct_long):
+        assert inspect.signature(f).parameters["chunk_rows"].default <= 250_000
+    n = 250_200  # the last rows lie in a second chunk
+    df = spark.range(n).selectExpr("'a' AS k", "id", "pmod(id * 7919, 10007) / 3.0D AS x")
+    got = order_stats.rolling_places(df, "x", 600, ["k"], ["id"], F.lit(0)).filter("id >= 249500").orderBy("id").collect()
+    i = np.arange(n)
+    less, same, known = order_stats.frame_places(i * 7919 % 10007 / 3.0, np.ones(n, bool), 600)
+    assert [(r.less, r.same, r.known) for r in got] == list(zip(less[249500:].tolist(), same[249500:].tolist(), known[249500:].tolist()))
