@@ -1,12 +1,15 @@
 """Near-duplicates by the exact Jaccard similarity of their shingle sets (second stage of the pipeline).
 
+Pairs come first from operator 8: SimHash fingerprints of the shingles, linked over its byte-position inverted index with
+count filtering. Fingerprints of similar sets may differ in more bits than it links, so a prefix index finds the pairs left.
+
 All shingles get one order: those a sample of the documents shows to be frequent last, the others by hash. Of two sets of n
 and m shingles with a similarity of t or more, the first n - ceil(t * n) + 1 and m - ceil(t * m) + 1 in that order have one
 in common (prefix filter), whatever the order is. The index has one list per shingle of these prefixes, so no pair is
 missed. Pairs whose sizes or places rule the similarity out are passed over; all others are verified on the whole sets.
 
-A list of many near copies is not paired out: every set is first verified against the leaders of two of its lists, then
-only pairs whose ends are in different components are. Equal sets are one node. A signature of 512 parity bits goes before
+A list of many near copies is not paired out: every set is first verified against those its fingerprint links it with and the
+leaders of two of its lists, then only pairs whose ends are in different components are. Equal sets are one node. A signature of 512 parity bits goes before
 every verification: the sets of a pair differ in at least as many shingles as their signatures differ in bits, so pairs whose
 bits differ too much are out for sure and neither leave their task nor meet their texts.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import slices, stored
 from barloom.llm.components import components
-from barloom.llm.simhash import shingle_hashes
+from barloom.llm.simhash import fingerprints, link_fingerprints, shingle_hashes
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SIGNS = [f"g{i}" for i in range(8)]  # 64 bits each
@@ -204,6 +207,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _printed(docs: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(a, b): links of nodes whose SimHash fingerprints differ in three bits or fewer. Nodes of one fingerprint are linked with
+    the smallest of them, which stands for the fingerprint in its links with others."""
+    prints = fingerprints(docs, size, doc_id="key").withColumnRenamed("doc_id", "key").distinct()
+    prints = stored(prints.join(known.select("key", "node"), "key").select("node", "fp").distinct(), "prints")
+    first = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    same = prints.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = link_fingerprints(prints)
+    for end in "ab":
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), end)
+    pairs = same.union(near.select("node_a", "node_b"))
+    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(key, group) for every distinct key of docs (key: hash of the text, long; text).
 
@@ -212,14 +229,15 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     """
     known = stored(nodes(docs, size).distinct(), "nodes")
     lists = _lists(_postings(docs, size, percent))
-    # a node is verified with the leaders of two of its lists
+    # a node is verified with those its fingerprint links it with and the leaders of two of its lists
     led = lists.filter("node != leader").filter(_can(F.col("n"), F.col("at"), F.col("leader_n"), F.col("leader_at"), percent))
     led = led.select("node", "leader").distinct()
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("leader", "node"), "leader"))
-    led = led.withColumn("turn", turn).filter("turn <= 2").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    led = led.withColumn("turn", turn).filter("turn <= 2").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    led = led.union(_printed(docs, known, size)).distinct()
     signs = known.dropDuplicates(["node"]).select("node", "n", *_SIGNS)
     led = stored(_alike(led, signs, percent), "led")
-    held = lists.select("node").distinct()
+    held = lists.select("node").union(led.select("a")).union(led.select("b")).distinct()
     held = known.join(held, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     texts = docs.select("key", F.col("text").cast("binary").alias("text")).join(held, "key").dropDuplicates(["node"]).select("node", "text")
     texts = stored(texts, "held")

@@ -28,7 +28,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the smallest doc_id, and of its texts the one of the smallest hash.
-    Shingles of five words, exact Jaccard similarity of 0.8 or more, also over other documents. Rows with the same doc_id
+    Shingles of five words, exact Jaccard similarity of 0.8 or more, also over other documents: the SimHash links of operator 8
+    are verified, and a prefix index adds the pairs whose fingerprints are too far apart. Rows with the same doc_id
     and text are one document, with the smallest of their other columns; rows without a doc_id cannot be named by a group
     and stay."""
     named = docs.select(*COLUMNS).filter("doc_id IS NOT NULL").withColumn("key", F.xxhash64("text"))
@@ -59,11 +60,11 @@ def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4,096 tokens, numbered along the order of the rows handed over:
-    by file, then by row in it. Rows that lie in no files are written to some first."""
+    by file, then by row in it. Rows that lie in no files have no order to hand over: they are mixed and written to some first."""
     try:
         docs = docs.select("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
     except AnalysisException:
-        docs = stored(docs, "stage").select("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
+        docs = stored(interleave(spark, docs, sf_dir), "stage").select("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
     # files are named by the task that wrote them and their number in it
     task, number = (F.coalesce(F.regexp_extract("file_name", p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)"))
     order = F.shiftleft(task, 43) + F.shiftleft(number, 32) + F.col("row_index")

@@ -594,3 +594,23 @@ def test_mixing_passes_all_rows_and_columns_on(spark):
     assert mixing.mix(df.filter("source = 'a'"), weights).count() == 30
     with pytest.raises(ValueError):
         mixing.mix(df.withColumn("_slot", F.lit(1)))
+
+
+def test_near_duplicates_come_through_fingerprints(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    # texts without a shared list leader: links of the fingerprints alone must join them
+    r = np.random.default_rng(8)
+    base = [" ".join(f"w{x}" for x in r.integers(0, 5000, 400)) for _ in range(4)]
+    texts = [t for b in base for t in (b, b + " tail", "head " + b)] + ["short", None]
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    asked, verified, lists = [], [], similar._lists
+    link, verify = similar.link_fingerprints, similar._verified
+    monkeypatch.setattr(similar, "link_fingerprints", lambda prints: asked.append(prints.count()) or link(prints))
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *more: verified.append(pairs.count()) or verify(pairs, *more))
+    assert sorted(x.doc_id for x in p.keep_distinct(spark, docs, SF).collect()) == [0, 3, 6, 9, 12, 13]
+    assert asked and verified[0]
+    # without any list of the prefix index the fingerprints' pairs still join the copies
+    monkeypatch.setattr(similar, "_lists", lambda postings: stored(lists(postings).filter("false"), "lists"))
+    assert sorted(x.doc_id for x in p.keep_distinct(spark, docs, SF).collect()) == [0, 3, 6, 9, 12, 13]
