@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,20 +256,22 @@ def _fitted(docs: DataFrame, held: tuple[list[str], bool], word_share: float, *t
 
 
 def keep_good(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.001, most_class: float = 0.28, most_word: float = 0.25, least_chars: int = 200, least_words: int = 40) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang and any others) that `quality` keeps: texts are shuffled only in languages that tasks do not hold."""
+    """The rows of `docs` (doc_id, text, lang and any others) that `quality` keeps: texts are shuffled only in languages that tasks do not hold.
+    A text reaches its task once, in its row."""
     inputs = _inputs(docs, "doc_id", "text", "lang")
     held = _held_languages(inputs, lang_share)
     _, table, refs, rules = _fitted(inputs, held, word_share, most_class, most_word, least_chars, least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            text = pc.struct_field(batch.column("row"), "text").cast(pa.binary())
+            for part in slices(batch.append_column("text", text), "text"):
                 yield part.select(["row"]).filter(pa.array(rules.judge(*_measure(part, rules.words), part)[3]))
 
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     rows = _inputs(docs.withColumn("_row", row), "doc_id", "text", "lang", "_row").withColumnRenamed("_row", "row")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
-    rows = _joined(rows.select("lang", "text", "row"), refs.join(table, "lang", "left"), *held)
+    rows = _joined(rows.select("lang", "row"), refs.join(table, "lang", "left"), *held)
     return rows.mapInArrow(run, schema).select("row.*")
 
 

@@ -614,3 +614,14 @@ def test_near_duplicates_come_through_fingerprints(spark, monkeypatch):
     # without any list of the prefix index the fingerprints' pairs still join the copies
     monkeypatch.setattr(similar, "_lists", lambda postings: stored(lists(postings).filter("false"), "lists"))
     assert sorted(x.doc_id for x in p.keep_distinct(spark, docs, SF).collect()) == [0, 3, 6, 9, 12, 13]
+
+
+def test_rows_that_pass_bring_their_text_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", F.lit(1))
+    docs = docs.union(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).union(docs.limit(2).withColumn("lang", F.lit("zz")))
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    good = quality.quality(docs.withColumn("doc_id", F.xxhash64("doc_id", "lang", "text"))).filter("kept")
+    assert sorted(r[0] for r in kept.select(F.xxhash64("doc_id", "lang", "text")).collect()) == sorted(r.doc_id for r in good.collect())
+    passed = [x for x in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "MapInArrow run" in x]
+    assert passed and not any(x.split("MapInArrow run(")[1].split(")")[0].count("text#") for x in passed)
