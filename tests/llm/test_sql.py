@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(llm.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = llm.queries()[name](spark, SF)
     found = con.execute(llm.oracle_sql()[name])
