@@ -142,7 +142,7 @@ def _measured(docs: DataFrame, words: dict[str | None, list[bytes]]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 key, rows = _measure(part, words)
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
                 arrays = [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)]
@@ -265,7 +265,7 @@ def keep_good(docs: DataFrame, word_share: float = 0.005, lang_share: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pc.struct_field(batch.column("row"), "text").cast(pa.binary())
-            for part in slices(batch.append_column("text", text), "text"):
+            for part in slices(batch.append_column("text", text), "text", 2 << 20):
                 yield part.select(["row"]).filter(pa.array(rules.judge(*_measure(part, rules.words), part)[3]))
 
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")

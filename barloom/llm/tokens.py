@@ -8,6 +8,7 @@ to its merge model, all others through the whole tokenizer.
 from __future__ import annotations
 
 import functools
+import os
 from array import array
 
 import numpy as np
@@ -47,9 +48,14 @@ def _byte_table() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes string arrays with one vocabulary file; pieces seen before are kept up to `most_pieces`."""
+    """Encodes string arrays with one vocabulary file; pieces seen before are kept up to `most_pieces`.
+
+    The library encodes in the calling thread: threads of its own, one for each core of the machine in every Python worker,
+    would each keep memory of theirs.
+    """
 
     def __init__(self, path: str, most_pieces: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
